@@ -4,11 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a context, in case they were started without it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_weirflow_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    target = Path(tempfile.mkdtemp(prefix="weirflow-")) / "weirflow.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted((root / "weirflow").rglob("*.py")):
+            z.write(source, source.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._weirflow_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """`spark.checkpoint.dir`; where it is unset (tests, one machine) a temporary folder becomes it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
