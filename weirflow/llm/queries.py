@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from weirflow.llm import storage
 
 
@@ -26,6 +28,29 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def _rest(modulus: int, rest: int):
+    """Whether the CRC of the id, as text, leaves `rest`."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == rest
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~_rest(5, 0))
+    out = toxicity.scored(docs, model)
+    return out.select("doc_id", _rest(5, 0).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), F.col("toxic_evidence").alias("evidence"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm import quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.fit(docs, _table(spark, sf_dir, "labels"), ~_rest(3, 1))
+    out = quality.scored(docs, weights)
+    return out.select("doc_id", _rest(3, 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
