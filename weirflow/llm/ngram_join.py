@@ -11,9 +11,11 @@ share) are matched only against probes. A set whose hash leaves it too few non-e
 second, coarser cut where each segment also carries its one-deletion neighbourhood (budget two a segment), and if
 even that is too little, to one list per band. So no pair is lost.
 
-Groups of equal segments are not expanded into pairs. Every member is verified against the group's smallest member;
-components of the links found are built, and only pairs of members still in different components, and that the
-triangle inequality of the Jaccard distance to the common leader allows, are verified in the last step.
+Groups of equal segments are not expanded into pairs. Each member is verified against the group's best connected
+member, and components of the links found are built. Only members still in different components meet again, under the
+parity bound: each set has a bitmap in which an element flips one bit, so the bits that differ between two bitmaps are
+no more than the elements that differ between the sets. Pairs within the bound are verified, the nearest of each
+set and component first, and the rest only where that left them apart.
 """
 
 from __future__ import annotations
@@ -45,6 +47,15 @@ _TOP = BANDS[1:] - 1
 #: Segments of each band: one more than the largest possible difference, and slack for empty ones.
 SEGMENTS = 2 * _TOP // 9 + 1 + -(-_TOP // 50) + 2
 COARSE = (_TOP // 4) // 2 + 1
+PARITY_WORDS = 8
+
+
+def parities(values: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A row of PARITY_WORDS words for each set: bit b says whether an odd number of elements hash to b."""
+    out = np.zeros((len(off) - 1, PARITY_WORDS * 64), np.uint8)
+    bit = (tx.mix(values ^ U64(0x3956C25BF348B538)) % U64(PARITY_WORDS * 64)).astype(np.int64)
+    count = np.bincount(tx.rows_of(off) * out.shape[1] + bit, minlength=out.size)
+    return np.packbits((count & 1).astype(np.uint8).reshape(out.shape), axis=1).view(np.int64)
 
 
 def set_digests(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +182,7 @@ def _index_rows(buckets: int):
                 size = np.diff(off)
                 h1, h2 = set_digests(values, off)
                 turn += 1
-                yield pa.RecordBatch.from_pylist([{"bucket": (turn * 7919) % buckets, "kind": 0, "n": b - a, "blob": _pack([ids[a:b], known[a:b].astype(np.int64), size.astype(np.int64), h1, h2])}], _PACKED)
+                yield pa.RecordBatch.from_pylist([{"bucket": (turn * 7919) % buckets, "kind": 0, "n": b - a, "blob": _pack([ids[a:b], known[a:b].astype(np.int64), size.astype(np.int64), h1, h2, parities(values, off)])}], _PACKED)
                 fresh = np.zeros(b - a, bool)
                 for i, key in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):
                     if known[a + i] and key not in seen:
@@ -189,14 +200,15 @@ def _index_rows(buckets: int):
     return run
 
 
-_GROUPED = "kind int, a long, b long, c long, d long"
-_GROUPED_ARROW = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in "abcd")])
+_GROUPED = "kind int, a long, b long, c long, d long, parity array<long>"
+_GROUPED_ARROW = pa.schema([("kind", pa.int32()), *((x, pa.int64()) for x in "abcd"), ("parity", pa.list_(pa.int64()))])
 
 
-def _grouped(kind: int, *cols: np.ndarray) -> pa.Table:
+def _grouped(kind: int, *cols: np.ndarray, parity: np.ndarray | None = None) -> pa.Table:
     n = len(cols[0])
+    bits = pa.nulls(n, pa.list_(pa.int64())) if parity is None else pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * PARITY_WORDS, parity.ravel())
     cols = [*cols, *[np.zeros(n, np.int64)] * (4 - len(cols))]
-    return pa.table([pa.array(np.full(n, kind, np.int32)), *(pa.array(c.astype(np.int64)) if not isinstance(c, pa.Array) else c for c in cols)], schema=_GROUPED_ARROW)
+    return pa.table([pa.array(np.full(n, kind, np.int32)), *(pa.array(c.astype(np.int64)) if not isinstance(c, pa.Array) else c for c in cols), bits], schema=_GROUPED_ARROW)
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -208,8 +220,8 @@ def _meet(table: pa.Table) -> pa.Table:
     for kind, n, blob in zip(table["kind"].to_pylist(), table["n"].to_pylist(), table["blob"].to_pylist(), strict=True):
         raw = zstandard.ZstdDecompressor().decompress(blob)
         if kind == 0:
-            doc, known, size, h1, h2 = np.frombuffer(raw, np.int64).reshape(5, n)
-            out.append(_grouped(0, pa.array(doc, mask=known == 0), size, h1, h2))
+            doc, known, size, h1, h2 = np.frombuffer(raw, np.int64, 5 * n).reshape(5, n)
+            out.append(_grouped(0, pa.array(doc, mask=known == 0), size, h1, h2, parity=np.frombuffer(raw, np.int64, n * PARITY_WORDS, 40 * n)))
         else:
             ids.append(np.cumsum(np.frombuffer(raw, np.int64, n)))
             wide = np.zeros((n, 8), np.uint8)
@@ -247,26 +259,22 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, size_a, size_b, common) of pairs of texts; rows in order of b share its set."""
-    last: tuple[object, np.ndarray] = (None, np.zeros(0, U64))
-
-    def one(text: str) -> np.ndarray:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        return text_sets(raw, np.array([0, len(raw)]))[0]
-
+    """(a, b, size_a, size_b, common) of pairs of texts; neighbouring rows with the same b share its set."""
     for batch in batches:
-        a, b, text_a, text_b = (batch.column(i) for i in range(4))
-        sizes = [[], [], []]
-        for i in range(batch.num_rows):
-            tb = text_b[i].as_py() or ""
-            if last[0] != tb:
-                last = (tb, one(tb))
-            x, y = one(text_a[i].as_py() or ""), last[1]
-            both = np.concatenate([x, y])
-            both.sort()
-            for s, v in zip(sizes, (len(x), len(y), int((both[1:] == both[:-1]).sum())), strict=True):
-                s.append(v)
-        yield pa.RecordBatch.from_arrays([a, b, *(pa.array(s, pa.int64()) for s in sizes)], names=["a", "b", "na", "nb", "common"])
+        for lo, hi, buf, offsets in tx.text_parts(batch.column(2)):
+            x, xo = text_sets(buf, offsets)
+            b = batch.column(1)[lo:hi].to_numpy()
+            new = np.concatenate([[True], b[1:] != b[:-1]])
+            heads = batch.column(3)[lo:hi].filter(pa.array(new))
+            sets = [v[o[i] : o[i + 1]] for _, _, raw, at in tx.text_parts(heads) for v, o in [text_sets(raw, at)] for i in range(len(at) - 1)]
+            which = np.cumsum(new) - 1
+            common = []
+            for i in range(hi - lo):
+                both = np.concatenate([x[xo[i] : xo[i + 1]], sets[which[i]]])
+                both.sort()
+                common.append(int((both[1:] == both[:-1]).sum()))
+            nb = np.array([len(v) for v in sets], np.int64)[which]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(np.diff(xo)), pa.array(nb), pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -277,6 +285,25 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInArrow(_overlaps, "a long, b long, na long, nb long, common long")
 
 
+def _differ():
+    """Bits in which the bitmaps p0.. and p0_.. differ."""
+    return sum(F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_"))) for i in range(PARITY_WORDS))
+
+
+def _within():
+    """Whether sizes and bitmaps allow a link."""
+    return F.expr("10 * least(n, n_) >= 8 * greatest(n, n_)") & (9 * _differ() <= F.col("n") + F.col("n_"))
+
+
+def _possible(pairs: DataFrame, node: DataFrame) -> DataFrame:
+    other = node.select(*(F.col(c).alias(f"{c}_") for c in node.columns))
+    return pairs.join(node, pairs["a"] == node["node"]).join(other, F.col("b") == F.col("node_")).where(_within()).select("a", "b")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    return verify(storage.materialise(pairs, "ngram-pairs"), texts).where("9 * common >= 4 * (na + nb)").select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: (doc_id, n_shingles, component_id).
 
@@ -288,43 +315,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = storage.buckets_for(texts, BUCKET_BYTES)
     packed = texts.mapInArrow(_index_rows(n), "bucket int, kind int, n int, blob binary")
     met = storage.materialise(packed.groupBy("bucket").applyInArrow(_meet, _GROUPED), "ngram-groups")
-    rows = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("h1"), F.col("d").alias("h2"))
+    rows = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("h1"), F.col("d").alias("h2"), "parity")
     least = rows.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    rows = storage.materialise(rows.join(least, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "ngram-rows")
+    rows = storage.materialise(rows.join(least, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "parity"), "ngram-rows")
+    node = rows.where("doc_id = rep").groupBy(F.col("rep").alias("node")).agg(F.max_by(F.struct("n_shingles", "parity"), "n_shingles").alias("s"))
+    node = node.select("node", F.col("s.n_shingles").alias("n"), *(F.col("s.parity")[i].alias(f"p{i}") for i in range(PARITY_WORDS)))
     members = (
         met.where("kind = 1")
         .groupBy(F.col("a").alias("g"), F.col("b").alias("doc_id"))
         .agg(F.max("c").alias("probe"))
-        .join(rows.where("doc_id is not null").distinct(), "doc_id")
-        .groupBy("g", F.col("rep").alias("node"), F.col("n_shingles").alias("n"))
+        .join(rows.where("doc_id is not null").select("doc_id", F.col("rep").alias("node")).distinct(), "doc_id")
+        .groupBy("g", "node")
         .agg(F.max("probe").alias("probe"))
     )
-    leaders = members.groupBy("g").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("g", "leader")
+    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
+    leaders = members.join(degree, "node").groupBy("g").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("leader"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("g", "leader")
     members = storage.materialise(members.join(leaders, "g"), "ngram-members")
-    stars = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    checked = storage.materialise(verify(stars, texts), "ngram-stars")
-    linked = checked.where("9 * common >= 4 * (na + nb)").select("a", "b")
-    labels = components(linked, "a", "b")
-    far = checked.groupBy(F.col("a").alias("node"), F.col("b").alias("leader")).agg(F.max(1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    open_ = (
-        members.join(labels, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-        .join(far, ["node", "leader"], "left")
-        .select("g", "node", "n", "probe", "component", F.coalesce("d", F.lit(0.0)).alias("d"))
-    )
-    # A member is still in play if it may link with another than the leader: its distance is at most twice the limit.
-    open_ = open_.where("d <= 0.4 + 1e-9 or d > 0.6 - 1e-9")
-    split = open_.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g")
-    open_ = storage.materialise(open_.join(split, "g"), "ngram-open")
-    other = open_.select("g", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "probe", "component", "d")))
-    rest = (
-        open_.join(other, "g")
-        .where("node > node2 and component <> component2 and probe + probe2 > 0 and 10 * least(n, n2) >= 8 * greatest(n, n2) and abs(d - d2) <= 0.2 + 1e-9 and d > 0 and d2 > 0")
-        .select(F.col("node").alias("a"), F.col("node2").alias("b"))
-        .distinct()
-    )
+    stars = _possible(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), node)
+    links = storage.materialise(_linked(stars, texts), "ngram-stars")
+    labels = components(links, "a", "b")
+    open_ = members.join(labels, "node", "left").select("g", "node", "probe", F.coalesce("component", "node").alias("c"))
+    split = open_.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
+    open_ = open_.join(split, "g").join(node, "node")
+    other = open_.select("g", *(F.col(c).alias(f"{c}_") for c in open_.columns if c != "g"))
+    rest = open_.join(other, "g").where(F.expr("node > node_ and c <> c_ and probe + probe_ > 0") & _within()).select(F.col("node").alias("a"), F.col("node_").alias("b"), "c", "c_", _differ().alias("differ")).distinct()
     rest = storage.materialise(rest, "ngram-rest")
-    if not rest.isEmpty():
-        more = verify(rest, texts).where("9 * common >= 4 * (na + nb)").select("a", "b")
-        labels = components(storage.materialise(linked.union(more), "ngram-links"), "a", "b")
+    sides = rest.select("a", "b", "differ", F.col("a").alias("x"), F.col("c_").alias("to")).union(rest.select("a", "b", "differ", "b", "c"))
+    near = storage.materialise(sides.groupBy("x", "to").agg(F.min_by(F.struct("a", "b"), F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "ngram-near")
+    if not near.isEmpty():
+        links = storage.materialise(links.union(_linked(near, texts)), "ngram-links")
+        labels = components(links, "a", "b")
+        name = labels.select(F.col("node").alias("a"), F.col("component").alias("x"))
+        left = rest.select("a", "b").join(near, ["a", "b"], "left_anti").join(name, "a", "left").join(name.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left")
+        left = storage.materialise(left.where("coalesce(x, a) <> coalesce(y, b)").select("a", "b"), "ngram-left")
+        if not left.isEmpty():
+            labels = components(storage.materialise(links.union(_linked(left, texts)), "ngram-links"), "a", "b")
     return rows.join(labels, rows["rep"] == labels["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
