@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where the public tokenizer files are; a parameter of the environment, not of the repository.
+TOKENIZERS = os.environ.get("WEIRFLOW_TOKENIZERS", "/opt/tokenizers")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.pieces import token_rows
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = token_rows(docs.withColumn("text_sha256", F.sha2("text", 256)), f"{TOKENIZERS}/piece_bpe_32k.model")
+    decoded = F.sha2("decoded", 256)
+    return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("round_trip"), "parity_diff")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.substring_dedup import repeated_passages
 
