@@ -34,12 +34,35 @@ SHINGLE = 5
 #: Bound of the index that is sent to the executors; more test text than this is refused.
 INDEX_BYTES = 256 << 20
 U64 = np.uint64
-_STRIP = re.compile(r"\W+")
+_WORDLIKE = np.ones(256, bool)
+_WORDLIKE[:128] = [chr(c).isalnum() or c == 95 for c in range(128)]
+
+
+def normal(buf: np.ndarray, offsets: np.ndarray) -> tx.Words:
+    """Words in lower case (A-Z and the Latin-1 letters) without ASCII punctuation; words of punctuation alone are left out."""
+    low = tx.lower_ascii(buf)
+    upper = np.flatnonzero((low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97) & (low[:-1] == 0xC3)) + 1
+    low[upper] += 0x20
+    w = tx.words_of(low, offsets)
+    solid = _WORDLIKE[low]
+    place = np.concatenate([[0], np.cumsum(solid)])
+    starts, ends = place[w.starts], place[w.ends]
+    keep = ends > starts
+    return tx.Words(low[solid], starts[keep], ends[keep], np.concatenate([[0], np.cumsum(keep)])[w.off])
+
+
+def words_between(w: tx.Words, lo: int, hi: int) -> list[bytes]:
+    if hi <= lo:
+        return []
+    flat = w.buf[w.starts[lo] : w.ends[hi - 1]].tobytes()
+    base = int(w.starts[lo])
+    return [flat[s - base : e - base] for s, e in zip(w.starts[lo:hi].tolist(), w.ends[lo:hi].tolist(), strict=True)]
 
 
-def normal_words(text: str) -> list[str]:
-    """Lower-cased words without punctuation; words of punctuation alone are left out."""
-    return [x for w in text.lower().split() if (x := _STRIP.sub("", w))]
+def normal_words(text: str) -> list[bytes]:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    w = normal(raw, np.array([0, len(raw)]))
+    return words_between(w, 0, len(w.starts))
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -56,7 +79,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str, str]]):
         self.items = [(i, normal_words(q), normal_words(a)) for i, q, a in items]
-        self.parts: list[tuple[int, list[str]]] = []
+        self.parts: list[tuple[int, list[bytes]]] = []
         for k, (_, q, a) in enumerate(self.items):
             words = q + a
             pieces = max(1, -(-len(words) // PART_WORDS))
@@ -83,8 +106,11 @@ class ItemIndex:
                 posts[p] /= own[p]
                 if not e:
                     self.rest[p] += posts[p]
-        self.lists = dict(zip(terms, lists, strict=True))
         blocks = -(-n // BLOCK)
+        self.lists: list[dict[bytes, list[tuple[int, float]]]] = [{} for _ in range(blocks)]
+        for w, posts in zip(terms, lists, strict=True):
+            for p, x in posts.items():
+                self.lists[p // BLOCK].setdefault(w, []).append((p, x))
         self.block_rest = np.array([self.rest[b * BLOCK : (b + 1) * BLOCK].max() for b in range(blocks)])
         rows = []
         for t, posts in enumerate(lists):
@@ -126,20 +152,19 @@ class ItemIndex:
         second = np.where(follows, total[np.minimum(after, len(key) - 1)], 0)
         # The passage that starts at a cell, and the one that ends at it, when no hit of the block is in the cell before.
         good = total + second + self.block_rest[block] >= RATIO - 1e-9
-        for c, b in zip(cell[good].tolist(), block[good].tolist(), strict=True):
-            r = int(np.searchsorted(base, c, "right") - 1)
-            yield r, c - int(base[r]), b
+        row = np.searchsorted(base, cell[good], "right") - 1
+        yield from zip(row.tolist(), (cell[good] - base[row]).tolist(), block[good].tolist(), strict=True)
 
-    def score(self, words: set[str], block: int) -> list[tuple[int, float]]:
+    def score(self, words: set[bytes], block: int) -> list[tuple[int, float]]:
         """Parts of the block whose exact relative score reaches the threshold."""
         got: dict[int, float] = {}
-        for w in words:
-            for p, x in self.lists.get(w, {}).items():
-                if p // BLOCK == block:
-                    got[p] = got.get(p, 0.0) + x
+        lists = self.lists[block]
+        for w in words & lists.keys():
+            for p, x in lists[w]:
+                got[p] = got.get(p, 0.0) + x
         return [(p, s) for p, s in got.items() if s >= RATIO - 1e-9]
 
-    def verify(self, item: int, words: list[str]) -> tuple[float, float]:
+    def verify(self, item: int, words: list[bytes]) -> tuple[float, float]:
         """Shares of the question's and the answer's words found in order."""
         _, q, a = self.items[item]
         if not any(tuple(words[i : i + SHINGLE]) in self.shingles[item] for i in range(max(1, len(words) - SHINGLE + 1))):
@@ -151,50 +176,24 @@ class ItemIndex:
         share = lambda x: float(x.mean()) if len(x) else 1.0
         return share(found[: len(q)]), share(found[len(q) :])
 
-    def search(self, text: str, cells: list[tuple[int, int]]) -> list[tuple[int, int, float, float, float]]:
+    def search(self, w: tx.Words, row: int, cells: list[tuple[int, int]]) -> list[tuple[int, int, float, float, float]]:
         """(item, passage's first word, score, question, answer) of the verified hits, the best of each item."""
-        words = normal_words(text)
+        first, last = int(w.off[row]), int(w.off[row + 1])
         best: dict[int, tuple] = {}
+        here: dict[int, set[bytes]] = {}
         for cell, block in sorted(set(cells)):
-            lo = cell * self.cell
-            here = set(words[lo : lo + 2 * self.cell])
-            for part, s in self.score(here, block):
+            lo = first + cell * self.cell
+            if cell not in here:
+                here[cell] = set(words_between(w, lo, min(last, lo + 2 * self.cell)))
+            for part, s in self.score(here[cell], block):
                 item = self.parts[part][0]
                 reach = len(self.items[item][1]) + len(self.items[item][2]) + self.cell
-                region = words[max(0, lo - reach) : lo + 2 * self.cell + reach]
-                q, a = self.verify(item, region)
+                q, a = self.verify(item, words_between(w, max(first, lo - reach), min(last, lo + 2 * self.cell + reach)))
                 if min(q, a) >= OVERLAP and (item not in best or s > best[item][2]):
-                    best[item] = (item, lo, s, q, a)
+                    best[item] = (item, lo - first, s, q, a)
         return [best[k] for k in sorted(best)]
 
 
-def normal_hashes(buf: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of normal words. ASCII rows are done on the buffer; `str` rules need Unicode tables for the others."""
-    low = tx.lower_ascii(buf)
-    w = tx.words_of(low, offsets)
-    solid = _WORDLIKE[low]
-    place = np.concatenate([[0], np.cumsum(solid)])
-    starts, ends = place[w.starts], place[w.ends]
-    h = tx.span_hashes(low[solid], starts, ends)
-    keep = ends > starts
-    off = np.concatenate([[0], np.cumsum(keep)])[w.off]
-    h = h[keep]
-    high = np.concatenate([[0], np.cumsum(buf >= 128)])
-    odd = np.flatnonzero(high[offsets[1:]] > high[offsets[:-1]])
-    if not len(odd):
-        return h, off
-    rows = [h[off[i] : off[i + 1]] for i in range(len(offsets) - 1)]
-    for i in odd.tolist():
-        flat = [x.encode() for x in normal_words(texts[i].as_py())]
-        ends = np.cumsum([len(x) for x in flat])
-        rows[i] = tx.span_hashes(np.frombuffer(b"".join(flat), np.uint8), ends - [len(x) for x in flat], ends) if flat else np.zeros(0, U64)
-    return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-
-
-_WORDLIKE = np.ones(256, bool)
-_WORDLIKE[:128] = [chr(c).isalnum() or c == 95 for c in range(128)]
-
-
 def read_items(benchmark: DataFrame, text_col: str = "text") -> list[tuple[int, str, str]]:
     """(item_id, question, answer) of the test items; null and empty ones are left out, repeated ids keep the first text."""
     names = set(benchmark.columns)
@@ -216,13 +215,13 @@ _HIT_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passa
 
 def _hits(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, list]]:
     """(row, verified hits) of the rows that have any."""
-    for a, b, buf, offsets in tx.text_parts(texts):
-        h, off = normal_hashes(buf, offsets, texts[a:b])
+    for a, _, buf, offsets in tx.text_parts(texts):
+        w = normal(buf, offsets)
         by: dict[int, list[tuple[int, int]]] = {}
-        for r, cell, block in index.passages(h, off):
+        for r, cell, block in index.passages(tx.span_hashes(w.buf, w.starts, w.ends), w.off):
             by.setdefault(r, []).extend([(cell, block), (cell - 1, block)] if cell else [(cell, block)])
         for r, cells in sorted(by.items()):
-            if found := index.search(texts[a + r].as_py() or "", cells):
+            if found := index.search(w, r, cells):
                 yield a + r, found
 
 

@@ -30,6 +30,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("round_trip"), "parity_diff")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm import pii
+
+    found = pii.spans(_table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["rank"] == pii.KINDS.index(k) + 1)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.span_text("base"), 256).alias("base_sha256"), pii.span_text("all_spans").alias("spans"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.decontaminate import contaminated
 
@@ -71,9 +79,32 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _rest(3, 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
+URL_RULES = "values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block') as t(host, path, action)"
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.url_rules import judge
+
+    return judge(_table(spark, sf_dir, "pages"), spark.sql(f"select * from {URL_RULES}"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE_SQL
+
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE_SQL = {
+    "op10_url_filters": f"""
+      with rest as (select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+      cut as (select page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) as raw_host from rest),
+      part as (select row_number() over () as row, page_id, {_LOWER.format("raw_host")} as host, regexp_extract(substr(rest, length(raw_host) + 1), '^([^?#]*)', 1) as path from cut),
+      rules as (select * from ({URL_RULES.replace(" as t", ") as t").replace("values", "values", 1)}),
+      fits as (select row, arg_max(rules.host || rules.path, length(rules.host || rules.path)) as rule, arg_max(action, length(rules.host || rules.path)) as action
+               from part join rules on (part.host = rules.host or ends_with(part.host, '.' || rules.host)) and starts_with(part.path, rules.path) group by row)
+      select page_id, host, path, rule, coalesce(action, 'allow') as verdict from part left join fits using (row)""",
+}
