@@ -34,21 +34,6 @@ SHINGLE = 5
 #: Bound of the index that is sent to the executors; more test text than this is refused.
 INDEX_BYTES = 256 << 20
 U64 = np.uint64
-_WORDLIKE = np.ones(256, bool)
-_WORDLIKE[:128] = [chr(c).isalnum() or c == 95 for c in range(128)]
-
-
-def normal(buf: np.ndarray, offsets: np.ndarray) -> tx.Words:
-    """Words in lower case (A-Z and the Latin-1 letters) without ASCII punctuation; words of punctuation alone are left out."""
-    low = tx.lower_ascii(buf)
-    upper = np.flatnonzero((low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97) & (low[:-1] == 0xC3)) + 1
-    low[upper] += 0x20
-    w = tx.words_of(low, offsets)
-    solid = _WORDLIKE[low]
-    place = np.concatenate([[0], np.cumsum(solid)])
-    starts, ends = place[w.starts], place[w.ends]
-    keep = ends > starts
-    return tx.Words(low[solid], starts[keep], ends[keep], np.concatenate([[0], np.cumsum(keep)])[w.off])
 
 
 def words_between(w: tx.Words, lo: int, hi: int) -> list[bytes]:
@@ -61,7 +46,7 @@ def words_between(w: tx.Words, lo: int, hi: int) -> list[bytes]:
 
 def normal_words(text: str) -> list[bytes]:
     raw = np.frombuffer(text.encode(), np.uint8)
-    w = normal(raw, np.array([0, len(raw)]))
+    w = tx.normal(raw, np.array([0, len(raw)]))
     return words_between(w, 0, len(w.starts))
 
 
@@ -216,7 +201,7 @@ _HIT_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passa
 def _hits(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, list]]:
     """(row, verified hits) of the rows that have any."""
     for a, _, buf, offsets in tx.text_parts(texts):
-        w = normal(buf, offsets)
+        w = tx.normal(buf, offsets)
         by: dict[int, list[tuple[int, int]]] = {}
         for r, cell, block in index.passages(tx.span_hashes(w.buf, w.starts, w.ends), w.off):
             by.setdefault(r, []).extend([(cell, block), (cell - 1, block)] if cell else [(cell, block)])

@@ -21,6 +21,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_WORDLIKE = np.ones(256, bool)
+_WORDLIKE[:128] = [chr(c).isalnum() or c == 95 for c in range(128)]
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -71,6 +73,19 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(buf, starts, np.flatnonzero(finishes) + 1, np.searchsorted(starts, offsets))
 
 
+def normal(buf: np.ndarray, offsets: np.ndarray) -> Words:
+    """Words in lower case (A-Z and the Latin-1 letters) without ASCII punctuation; words of punctuation alone are left out."""
+    low = lower_ascii(buf)
+    upper = np.flatnonzero((low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97) & (low[:-1] == 0xC3)) + 1
+    low[upper] += 0x20
+    w = words_of(low, offsets)
+    solid = _WORDLIKE[low]
+    place = np.concatenate([[0], np.cumsum(solid)])
+    starts, ends = place[w.starts], place[w.ends]
+    keep = ends > starts
+    return Words(low[solid], starts[keep], ends[keep], np.concatenate([[0], np.cumsum(keep)])[w.off])
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS
     if len(_POWERS[0]) < n:
