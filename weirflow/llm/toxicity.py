@@ -22,12 +22,14 @@ from weirflow.llm import textops as tx
 from weirflow.llm.quality import labelled_sample, token_spans
 
 #: Bounds of the training sample, of its part in the index, and of the terms.
-TRAIN_ROWS = 12000
+TRAIN_ROWS = 6000
 INDEX_SHARE = 0.75
 TERMS = 1024
 LEAST_CHI2 = 12.0
 #: Prefixes, in bytes, that are terms too: inflected forms share them.
 PREFIXES = (4, 6, 7)
+SLOT_BITS = 22
+SLOTS = 1 << SLOT_BITS
 NEIGHBOURS = 15
 BLOCK = 64
 PRIOR_WEIGHT = 0.5
@@ -47,19 +49,32 @@ def _lowered(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def choose_terms(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
-    """The hashes of the terms most unevenly dealt between the labels, sorted."""
+    """The hashes of the terms most unevenly dealt between the labels, sorted.
+
+    Hashed counters find the few slots worth a look first, so that memory does not follow the vocabulary.
+    """
     n, pos = len(label), int(label.sum())
     if not n or pos in (0, n):
         return np.zeros(0, U64)
-    flat = np.concatenate([*sets, np.zeros(0, U64)])
-    y = np.repeat(label, [len(s) for s in sets])
-    term, at = np.unique(flat, return_inverse=True)
-    a = np.bincount(at, weights=y, minlength=len(term))
-    df = np.bincount(at, minlength=len(term))
-    b, c, d = df - a, pos - a, n - pos - df + a
-    chi2 = n * (a * d - b * c) ** 2 / np.maximum(1e-9, (a + b) * (c + d) * (a + c) * (b + d))
-    good = np.flatnonzero((chi2 >= LEAST_CHI2) & (df >= 3) & (a * d > b * c))
-    good = good[np.lexsort((term[good], -chi2[good]))][:TERMS]
+
+    def chi2(a, df):
+        b, c, d = df - a, pos - a, n - pos - df + a
+        x = n * (a * d - b * c) ** 2 / np.maximum(1e-9, (a + b) * (c + d) * (a + c) * (b + d))
+        return np.where((df >= 3) & (a * d > b * c), x, 0.0)
+
+    counts = np.zeros((2, SLOTS), np.int32)
+    for s, y in zip(sets, label, strict=True):
+        np.add.at(counts[int(y)], (s >> U64(64 - SLOT_BITS)).astype(np.int64), 1)
+    some = np.flatnonzero(counts.sum(axis=0) >= 3)
+    some = some[chi2(counts[1][some].astype(float), counts.sum(axis=0)[some].astype(float)) >= LEAST_CHI2 / 2]
+    wanted = np.zeros(SLOTS, bool)
+    wanted[some] = True
+    picked = [s[wanted[(s >> U64(64 - SLOT_BITS)).astype(np.int64)]] for s in sets]
+    term, at = np.unique(np.concatenate(picked), return_inverse=True)
+    df = np.bincount(at, minlength=len(term)).astype(float)
+    x = chi2(np.bincount(at, weights=np.repeat(label, [len(s) for s in picked]), minlength=len(term)), df)
+    good = np.flatnonzero(x >= LEAST_CHI2)
+    good = good[np.lexsort((term[good], -x[good]))][:TERMS]
     return np.sort(term[good])
 
 
@@ -162,11 +177,21 @@ def build(ids: list[int], label: np.ndarray, rows: list[np.ndarray], terms: np.n
     return Model(terms, idf, index, prior, calibrate(votes, label[cut:]))
 
 
+def _packed(h: np.ndarray) -> bytes:
+    values, count = np.unique(h[h != 0], return_counts=True)
+    return values.tobytes() + np.minimum(count, 65535).astype(np.uint16).tobytes()
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 10
+    return np.frombuffer(raw, U64, n), np.frombuffer(raw, np.uint16, n, 8 * n)
+
+
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, buf, offsets in tx.text_parts(batch.column(2)):
             h, off = _lowered(buf, offsets)
-            blobs = [h[off[i] : off[i + 1]].tobytes() for i in range(b - a)]
+            blobs = [_packed(h[off[i] : off[i + 1]]) for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(blobs, pa.binary())], names=["doc_id", "label", "h"])
 
 
@@ -199,11 +224,13 @@ def fit(docs: DataFrame, labels: DataFrame, allowed=None, rows: int = TRAIN_ROWS
     allowed = F.lit(True) if allowed is None else allowed
     found = labelled_sample(docs, labels, "toxic", allowed, rows, salt=6).mapInArrow(_token_rows, "doc_id long, label int, h binary").toArrow()
     rows_in = sorted(zip(found["doc_id"].to_pylist(), found["label"].to_pylist(), found["h"].to_pylist(), strict=True), key=lambda r: tx.mix(np.array([r[0]], np.int64).view(U64))[0])
-    tokens_of = [np.frombuffer(r[2], U64) for r in rows_in]
+    del found
+    bags = [_unpacked(r[2]) for r in rows_in]
     label = np.array([r[1] for r in rows_in], float)
-    terms = choose_terms([np.unique(t) for t in tokens_of], label)
+    terms = choose_terms([b[0] for b in bags], label)
+    rows_of_terms = [np.repeat(v[hit], n[hit]) for v, n in bags for hit in [np.isin(v, terms)]]
     df, n = document_frequencies(docs, terms)
-    return build([r[0] for r in rows_in], label, tokens_of, terms, np.log((n + 1) / (df + 1)) + 1)
+    return build([r[0] for r in rows_in], label, rows_of_terms, terms, np.log((n + 1) / (df + 1)) + 1)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
