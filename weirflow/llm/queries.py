@@ -21,6 +21,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TOKENIZERS = os.environ.get("WEIRFLOW_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm import warc
+
+    folder = storage.scratch_path(spark, "warc")
+    index = warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_records(index, folder).drop("url")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.pieces import token_rows
 
@@ -105,6 +113,16 @@ def oracle_sql() -> dict[str, str]:
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL = {
+    "op1_warc": """
+      with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+      m as (select *, count(*) over w as n, min(page_id) over w as least from p window w as (partition by hex)),
+      b as (select *, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(
+              ((position(upper(substr(hex, 1 + (5 * i) // 4, 1)) in '0123456789ABCDEF') - 1) * 16
+               + greatest(position(upper(substr(hex, 2 + (5 * i) // 4, 1)) in '0123456789ABCDEF') - 1, 0)) // (1 << (3 - (5 * i) % 4)) % 32 as int), 1)) as digits from m)
+      select page_id, octet_length(encode(html)) as payload_bytes, array_to_string(digits, '') as payload_digest,
+             case when n > 1 and least is not null and page_id is distinct from least then 'revisit' else 'response' end as record_type,
+             case when n > 1 and least is not null and page_id is distinct from least then least end as refers_to
+      from b""",
     "op10_url_filters": f"""
       with rest as (select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
       cut as (select page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) as raw_host from rest),
