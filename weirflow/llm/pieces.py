@@ -251,7 +251,7 @@ def _decode_bytes(raw: bytes) -> str:
 _CODECS: dict[str, Codec] = {}
 
 
-def token_rows(docs: DataFrame, model_path: str, text_col: str = "text", verify: bool = True) -> DataFrame:
+def token_rows(docs: DataFrame, model_path: str, text_col: str = "text", verify: bool = True, with_text: bool = True) -> DataFrame:
     """`docs` without its text, with n_tokens, token_ids (binary, 32-bit little-endian), decoded and parity_diff.
 
     Null and empty texts have no tokens. A text that holds the marker U+2581 decodes with a space in its place, as
@@ -271,10 +271,10 @@ def token_rows(docs: DataFrame, model_path: str, text_col: str = "text", verify:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 got = codec.encode([t or "" for t in part.column(text_col).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in kept), pa.array([len(g[0]) // 4 for g in got], pa.int64()), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.int32())],
-                    names=[*kept, "n_tokens", "token_ids", "decoded", "parity_diff"],
-                )
+                made = {"n_tokens": pa.array([len(g[0]) // 4 for g in got], pa.int64()), "token_ids": pa.array([g[0] for g in got], pa.binary()), "parity_diff": pa.array([g[2] for g in got], pa.int32())}
+                if with_text:
+                    made["decoded"] = pa.array([g[1] for g in got], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made.values()], names=[*kept, *made])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
-    return docs.mapInArrow(run, f"{fields}, n_tokens long, token_ids binary, decoded string, parity_diff int")
+    return docs.mapInArrow(run, f"{fields}, n_tokens long, token_ids binary, parity_diff int" + ", decoded string" * with_text)

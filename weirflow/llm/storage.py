@@ -56,8 +56,8 @@ def buckets_for(df: DataFrame, bytes_each: int, least: int = 32, most: int = 1 <
     return int(min(most, max(least, plan_bytes(df) // bytes_each)))
 
 
-def keep_possible(df: DataFrame, key: str, ids: DataFrame, id_col: str, max_bits: int = 1 << 26) -> DataFrame:
-    """Rows of `df` whose key may be in `ids`, by a bitmap of bounded size; an exact join must follow.
+def keep_possible(df: DataFrame, key: str, ids: DataFrame, id_col: str, max_bits: int = 1 << 26, negate: bool = False) -> DataFrame:
+    """Rows of `df` whose key may be in `ids`, by a bitmap of bounded size; an exact join must follow. Negated: the others.
 
     The bitmap has 16 bits an id, at most `max_bits` (8 MB at the default), so it can be broadcast at any size of
     `ids`; beyond that it only lets more rows through.
@@ -75,6 +75,6 @@ def keep_possible(df: DataFrame, key: str, ids: DataFrame, id_col: str, max_bits
         .groupBy("_word")
         .agg(F.bit_or(F.call_function("shiftleft", F.col("_one"), F.col("_bit"))).alias("_bits"))
     )
-    flagged = df.withColumn("_word", word(F.col(key))).join(F.broadcast(bitmap), "_word")
+    flagged = df.withColumn("_word", word(F.col(key))).join(F.broadcast(bitmap), "_word", "left" if negate else "inner")
     has = F.call_function("shiftrightunsigned", F.col("_bits"), bit(F.col(key))).bitwiseAND(F.lit(1).cast("long")) == 1
-    return flagged.where(has).select(*df.columns)
+    return flagged.where(~F.coalesce(has, F.lit(False)) if negate else has).select(*df.columns)
