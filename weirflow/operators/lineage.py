@@ -100,6 +100,6 @@ def cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def walk(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         found = kernels.cycles(list(n.sort_values("ordinal")["node"]), list(zip(e["producer"], e["consumer"], strict=True)))
-        return pd.DataFrame({"run_id": key[0], "place": range(len(found)), "walk": found})
+        return pd.DataFrame({"run_id": key[0], "place": range(len(found)), "walk": pd.Series(found, dtype=object)})
 
     return nodes.groupBy("run_id").cogroup(edges.groupBy("run_id")).applyInPandas(walk, "run_id long, place int, walk array<string>")

@@ -96,9 +96,9 @@ def bare_refs(files: DataFrame, key: str = "path", text: str = "raw") -> DataFra
     near = sig.withColumns({"before": F.upper(F.lag("value").over(w)), "name": F.lead("value").over(w), "name_kind": F.lead("kind").over(w), "then": F.lead("value", 2).over(w)})
     levels = near.withColumn("_opens", F.when(F.col("value") == "(", F.col("before").isin(GROUP_LEADS)))
     # The nearest opener of a token at depth d stands at depth d - 1.
-    openers = levels.where("_opens is not null").select(F.col(key).alias("k2"), F.col("depth").alias("d2"), F.col("idx").alias("i2"), "_opens")
+    openers = levels.where("_opens is not null").select(F.col(key).alias("k2"), F.col("depth").alias("d2"), F.col("idx").alias("i2"), F.col("_opens").alias("leads"))
     froms = levels.where("kind = 'WORD' and upper(value) = 'FROM' and not inside")
-    enclosed = froms.join(openers, (F.col(key) == F.col("k2")) & (F.col("depth") - 1 == F.col("d2")) & (F.col("i2") < F.col("idx")), "left").groupBy(key, "idx", "depth", "name", "name_kind", "then").agg(F.max_by("_opens", "i2").alias("ok"))
+    enclosed = froms.join(openers, (F.col(key) == F.col("k2")) & (F.col("depth") - 1 == F.col("d2")) & (F.col("i2") < F.col("idx")), "left").groupBy(key, "idx", "depth", "name", "name_kind", "then").agg(F.max_by("leads", "i2").alias("ok"))
     name = F.lower(tf.unquote(F.col("name")))
     good = enclosed.where(((F.col("depth") == 0) | F.coalesce("ok", F.lit(False))) & F.col("name_kind").isin("WORD", "QUOTED_IDENT") & (F.coalesce("then", F.lit("")) != ".")).withColumn("name", name).where(~F.col("name").isin(NOT_TABLES))
     first = good.groupBy(key, "name").agg(F.min("idx").alias("pos"))

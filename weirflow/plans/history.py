@@ -119,9 +119,9 @@ def fsm_transition_check(t):
     return history.check_transitions(t.events, "user_id", ["ts", "event_id"], "event_type", allowed).select("event_id", "before", "event_type", "valid")
 
 
-@query("select stage, day, version, parent_version, changed from (select *, lag(h) over w is distinct from h as changed, lag(version) over w as parent_version from (select user_id as stage, cast(ts as date) as day, count(*) % 7 as h, row_number() over (partition by user_id order by cast(ts as date)) as version from events group by 1, 2) window w as (partition by stage order by day))")
+@query("select stage, day, version, parent_version, changed from (select *, lag(h) over w is distinct from h as changed, lag(version) over w as parent_version from (select user_id as stage, cast(cast(ts as date) as varchar) as day, count(*) % 7 as h, row_number() over (partition by user_id order by cast(cast(ts as date) as varchar)) as version from events group by 1, 2) window w as (partition by stage order by day))")
 def snapshot_version_chain(t):
-    days = t.events.groupBy(F.col("user_id").alias("stage"), F.to_date("ts").alias("day")).agg((F.count("*") % 7).alias("h"))
+    days = t.events.groupBy(F.col("user_id").alias("stage"), F.to_date("ts").cast("string").alias("day")).agg((F.count("*") % 7).alias("h"))
     w = Window.partitionBy("stage").orderBy("day")
     return days.select("stage", "day", F.row_number().over(w).cast("long").alias("version"), F.lag("h").over(w).alias("old"), "h").withColumn("parent_version", F.lag("version").over(w)).select("stage", "day", "version", "parent_version", (~F.col("old").eqNullSafe(F.col("h"))).alias("changed"))
 
