@@ -112,13 +112,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def prefix_sums(buf: np.ndarray) -> np.ndarray:
+    power, _ = _power_tables(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, U64)
+    np.cumsum((buf.astype(U64) + U64(1)) * power[: len(buf)], out=sums[1:])
+    return sums
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
     """64-bit hashes of byte spans: a polynomial from prefix sums, then `mix` with the length."""
     if not len(starts):
         return np.zeros(0, U64)
-    power, inverse = _power_tables(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, U64)
-    np.cumsum((buf.astype(U64) + U64(1)) * power[: len(buf)], out=sums[1:])
+    sums = prefix_sums(buf) if sums is None else sums
+    _, inverse = _power_tables(len(buf) + 1)
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
 
 

@@ -25,13 +25,15 @@ from weirflow.llm.quality import labelled_sample, token_spans
 TRAIN_ROWS = 6000
 INDEX_SHARE = 0.75
 TERMS = 1024
-LEAST_CHI2 = 12.0
+LEAST_CHI2 = 18.0
 #: Prefixes, in bytes, that are terms too: inflected forms share them.
 PREFIXES = (4, 6, 7)
 SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks visited at a time.
+VISIT = 6
 PRIOR_WEIGHT = 0.5
 U64 = np.uint64
 
@@ -41,10 +43,11 @@ def _lowered(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     low = tx.lower_ascii(buf)
     starts, ends, off = token_spans(low, offsets)
     out = np.zeros((len(starts), 1 + len(PREFIXES)), U64)
-    out[:, 0] = tx.span_hashes(low, starts, ends)
+    sums = tx.prefix_sums(low)
+    out[:, 0] = tx.span_hashes(low, starts, ends, sums)
     for k, n in enumerate(PREFIXES, 1):
         long = ends - starts > n
-        out[long, k] = tx.span_hashes(low, starts[long], starts[long] + n) ^ U64(0x2545F4914F6CDD1D)
+        out[long, k] = tx.span_hashes(low, starts[long], starts[long] + n, sums) ^ U64(0x2545F4914F6CDD1D)
     return out.ravel(), off * out.shape[1]
 
 
@@ -78,14 +81,27 @@ def choose_terms(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     return np.sort(term[good])
 
 
+def matches(h: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of `h` that hold terms, and which; a small table of low bits sorts most of the others out."""
+    if not len(terms):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    maybe = np.zeros(1 << 16, bool)
+    maybe[(terms & U64(0xFFFF)).astype(np.int64)] = True
+    place = np.flatnonzero(maybe[h.astype(np.uint16)])
+    at = np.minimum(np.searchsorted(terms, h[place]), len(terms) - 1)
+    hit = terms[at] == h[place]
+    return place[hit], at[hit]
+
+
 def vectors(h: np.ndarray, off: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(term numbers, unit-length weights) of each row."""
-    at = np.minimum(np.searchsorted(terms, h), max(0, len(terms) - 1)) if len(terms) else np.zeros(len(h), np.int64)
-    hit = terms[at] == h if len(terms) else np.zeros(len(h), bool)
-    place = np.flatnonzero(hit)
+    place, found = matches(h, terms)
     cut = np.searchsorted(place, off)
-    found = at[place]
+    none = np.zeros(0, np.int64), np.zeros(0)
     for i in range(len(off) - 1):
+        if cut[i] == cut[i + 1]:
+            yield none
+            continue
         t, tf = np.unique(found[cut[i] : cut[i + 1]], return_counts=True)
         w = (1 + np.log(tf)) * idf[t]
         norm = np.sqrt(w @ w)
@@ -104,9 +120,9 @@ class Index:
         owner = np.repeat(np.arange(n), [len(e[2]) for e in examples]).astype(np.int64)
         term = np.concatenate([*(e[2] for e in examples), np.zeros(0, np.int64)]).astype(np.int64)
         weight = np.concatenate([*(e[3] for e in examples), np.zeros(0)])
-        order = np.lexsort((owner, term))
-        self.owner, self.weight = owner[order], weight[order]
-        self.list = np.searchsorted(term[order], np.arange(terms + 1))
+        #: Posting lists by term and block; the examples and terms are bounded, so lists are kept with their zeros.
+        self.lists = np.zeros((terms, self.blocks, BLOCK), np.float32)
+        self.lists[term, owner // BLOCK, owner % BLOCK] = weight
         self.greatest = np.zeros((terms, self.blocks))
         np.maximum.at(self.greatest, (term, owner // BLOCK), weight)
 
@@ -115,19 +131,18 @@ class Index:
         if not len(t) or not self.blocks:
             return np.zeros(0, np.int64), np.zeros(0)
         bound = w @ self.greatest[t]
+        order = np.argsort(-bound, kind="stable")
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1] - 1e-12:
+        for s in range(0, self.blocks, VISIT):
+            some = order[s : s + VISIT]
+            some = some[bound[some] > (best[-1] - 1e-6 if len(best) == k else 0)]
+            if not len(some):
                 break
-            sims = np.zeros(BLOCK)
-            for term, x in zip(t.tolist(), w.tolist(), strict=True):
-                lo, hi = self.list[term], self.list[term + 1]
-                s, e = lo + np.searchsorted(self.owner[lo:hi], [b * BLOCK, (b + 1) * BLOCK])
-                sims[self.owner[s:e] - b * BLOCK] += x * self.weight[s:e]
-            some = np.flatnonzero(sims > 0)
-            best_at, best = np.append(best_at, some + b * BLOCK), np.append(best, sims[some])
-            order = np.lexsort((best_at, -np.round(best, 12)))[:k]
-            best_at, best = best_at[order], best[order]
+            sims = np.tensordot(w, self.lists[t[:, None], some].astype(float), 1)
+            b, j = np.nonzero(sims > 0)
+            best_at, best = np.append(best_at, some[b] * BLOCK + j), np.append(best, sims[b, j])
+            top = np.lexsort((best_at, -np.round(best, 6)))[:k]
+            best_at, best = best_at[top], best[top]
         return best_at, best
 
     def vote(self, at: np.ndarray, sim: np.ndarray, prior: float) -> float:
@@ -207,9 +222,8 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
                 h, off = _lowered(buf, offsets)
                 n += b - a
                 if len(wanted):
-                    at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                    hit = np.flatnonzero(wanted[at] == h)
-                    pairs = np.unique((np.searchsorted(off, hit, "right") - 1) * len(wanted) + at[hit])
+                    hit, at = matches(h, wanted)
+                    pairs = np.unique((np.searchsorted(off, hit, "right") - 1) * len(wanted) + at)
                     df += np.bincount(pairs % len(wanted), minlength=len(wanted))
         yield pa.RecordBatch.from_pydict({"term": np.arange(-1, len(wanted)), "n": np.append(n, df)})
 
