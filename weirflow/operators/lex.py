@@ -61,5 +61,8 @@ def significant(toks: DataFrame, key: str = "path") -> DataFrame:
     kept = toks.where("kind not in ('SPACE', 'COMMENT')").withColumns({"_cum": F.sum(step).over(order), "inside": (opened > closed) | (F.col("kind") == "TEMPLATE_CLOSE"), "_step": step})
     low = F.least(F.lit(0), F.min("_cum").over(order))
     after = F.col("_cum") - low
-    # An opener stands at the depth outside it, a closer too.
-    return kept.withColumns({"depth": F.when(F.col("_step") > 0, after - 1).otherwise(after), "idx": F.row_number().over(Window.partitionBy(key).orderBy("pos")), "region": opened}).drop("_cum", "_step")
+    kept = kept.withColumn("_after", after)
+    before = F.coalesce(F.lag("_after").over(Window.partitionBy(key).orderBy("pos")), F.lit(0))
+    after = F.col("_after")
+    # An opener stands at the depth outside it, a closer too; a closer without an opener is unmatched.
+    return kept.withColumns({"unmatched": (F.col("_step") < 0) & (before == 0), "depth": F.when(F.col("_step") > 0, after - 1).otherwise(after), "idx": F.row_number().over(Window.partitionBy(key).orderBy("pos")), "region": opened}).drop("_cum", "_step", "_after")

@@ -23,7 +23,7 @@ def _projection(sig: DataFrame, key: str) -> DataFrame:
     running = whole.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     is_select = (F.col("kind") == "WORD") & (upper == "SELECT") & (F.col("depth") == 0) & ~F.col("inside")
     after = sig.withColumn("main", F.max(F.when(is_select, F.col("idx"))).over(whole)).where("idx > main and not inside")
-    stops = (F.col("depth") == 0) & (((F.col("kind") == "WORD") & upper.isin(CLAUSE_END)) | F.col("value").isin(")", ";"))
+    stops = (F.col("depth") == 0) & (((F.col("kind") == "WORD") & upper.isin(CLAUSE_END)) | (F.col("value") == ";") | F.col("unmatched"))
     ended = after.withColumn("_stop", F.max(stops.cast("int")).over(running)).where("_stop = 0")
     lead = (upper.isin("ALL", "DISTINCT")) & (F.col("idx") <= F.col("main") + 2)
     comma = (F.col("value") == ",") & (F.col("depth") == 0)
