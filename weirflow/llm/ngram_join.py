@@ -163,10 +163,12 @@ def _index_rows(buckets: int):
                 return
             ids, sig, probe = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
+            if not len(sig):
+                return
             bucket = (sig % U64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             ids, code, bucket = ids[order], (((sig >> U64(17)) << U64(1)) | probe.astype(U64))[order], bucket[order]
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             out = []
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
                 six = code[a:b].view(np.uint8).reshape(-1, 8)[:, :6]
