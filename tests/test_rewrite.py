@@ -86,3 +86,39 @@ def test_plan_and_apply(spark):
     blocked = rewrite.overlay(found, findings.withColumn("span", rewrite.F.expr("named_struct('start', 0, 'end', 100)")))
     assert blocked.where("not blocked").count() == 0
     assert rewrite.overlay(found, findings.withColumn("span", rewrite.F.expr("named_struct('start', 0, 'end', 100)")), allow=True).where("blocked").count() == 0
+
+
+def test_verify_diff_and_plan_files(spark, tmp_path):
+    raw = "select ID, id from T"
+    stages = spark.createDataFrame([("a.sql", "a", raw, ["id"])], "path string, name string, raw string, columns array<string>")
+    none = spark.createDataFrame([], "rule_id string, severity string, path string, line int, col int, span struct<start:int,end:int>, status string")
+    items = rewrite.plan(rewrite.overlay(rewrite.disjoint(rewrite.candidates(stages, ["REF-004"])), none))
+    digest = rewrite.plan_hash(items, "root", "sha256:x", "safe").first().plan_hash
+    rewrite.write_plan(items, str(tmp_path / "plan.json"), digest)
+    again, same = rewrite.read_plan(spark, str(tmp_path / "plan.json"))
+    assert same == digest and [r.item_hash for r in again.collect()] == [r.item_hash for r in items.collect()]
+    done = rewrite.apply(stages, again)
+    assert "+select id, id from t" in rewrite.file_diffs(done).first()["diff"]
+    after = stages.drop("raw").join(done.select("path", done.rewritten.alias("raw")), "path")
+    assert {r.rule_id for r in rewrite.verify(stages, none, most_tier="safe").collect()} <= {"REF-002", "REF-004"}
+    assert {r.rule_id for r in rewrite.verify(after, none, rule_ids=["REF-004"]).collect()} == set()
+    bad = spark.createDataFrame([("SEC-003", "high", "a.sql", 1, 1, (0, 5), "open")], none.schema)
+    assert [r.problem for r in rewrite.verify(after, bad, rule_ids=["REF-004"]).collect()] == ["finding"]
+    assert rewrite.verify(after, bad, rule_ids=["REF-004"], baseline=bad).count() == 0
+    accepted = spark.createDataFrame([("a.sql", 0, 6, "select", "SELECT", 0.9, "r", "LLM-1", "risky")], "path string, start int, end int, before string, after string, confidence double, rationale string, rule_id string, tier string")
+    assert {r.rule_id for r in rewrite.merge_suggestions(items, accepted, none).collect()} == {"REF-004", "LLM-1"}
+
+
+def test_orchestration(spark):
+    from weirflow.operators import history
+
+    files = spark.createDataFrame([("b", "2"), ("a", "1")], "path string, content string")
+    assert history.snapshot_fingerprint(files).first() == history.snapshot_fingerprint(files.repartition(3)).first()
+    rows = spark.range(100)
+    assert [r.id for r in history.sample(rows, "id", "s", 5).collect()] == [r.id for r in history.sample(rows.repartition(7), "id", "s", 5).collect()]
+    now = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "9")], "path string, hash string")
+    want = spark.createDataFrame([("a", "1", "x"), ("b", "0", "2"), ("c", "0", "1"), ("d", "0", "1")], "path string, old_hash string, new_hash string")
+    assert {tuple(r) for r in history.compare_and_set(now, want).collect()} == {("a", "applied"), ("b", "noop"), ("c", "conflict"), ("d", "missing")}
+    failed = spark.sql("select 1 as attempt, timestamp '2024-01-01 00:00:00' as failed_at union all select 3, timestamp '2024-01-01 00:00:00'")
+    again, dead = history.retry_schedule(failed)
+    assert str(again.first().retry_after) == "2024-01-01 00:00:02" and dead.count() == 1

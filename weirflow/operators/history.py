@@ -55,3 +55,29 @@ def changed(now: DataFrame, cached: DataFrame, key: str, content: str) -> DataFr
     """Rows whose content hash is not the cached one; texts are hashed before the shuffle."""
     hashed = lambda df: df.select(key, F.sha2(content, 256).alias("_h"))
     return hashed(now).join(hashed(cached), [key, "_h"], "left_anti").select(key)
+
+
+def snapshot_fingerprint(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """One row (fingerprint) over the sorted (path, SHA-256) pairs of an input; only hashes meet in one place."""
+    hashed = files.select(F.struct(F.col(path).alias("p"), F.sha2(F.col(content).cast("binary"), 256).alias("h")).alias("x"))
+    lines = F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat_ws(" ", x["p"], x["h"]))
+    return hashed.agg(F.concat(F.lit("sha256:"), F.sha2(F.array_join(lines, "\n"), 256)).alias("fingerprint"))
+
+
+def sample(rows: DataFrame, key: str, seed: str, n: int) -> DataFrame:
+    """The same `n` rows for a seed however the rows are dealt: a sampling operator, so the limit is its feature."""
+    return rows.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256), key).limit(n)
+
+
+def compare_and_set(now: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(path, status) of edits (path, old_hash, new_hash) against files (path, hash): applied, noop, conflict or missing."""
+    joined = wanted.join(now, "path", "left")
+    status = F.when(F.col("hash").isNull(), "missing").when(F.col("hash") == F.col("new_hash"), "noop").when(F.col("hash") == F.col("old_hash"), "applied").otherwise("conflict")
+    return joined.select("path", status.alias("status"))
+
+
+def retry_schedule(failures: DataFrame, base_seconds: float = 1.0, most_seconds: float = 60.0, attempts: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(to retry with `retry_after`, dead letters) of failures (attempt, failed_at): the wait doubles up to a bound."""
+    wait = F.least(F.lit(most_seconds), F.lit(base_seconds) * F.pow(F.lit(2.0), F.col("attempt")))
+    again = failures.where(F.col("attempt") < attempts).withColumn("retry_after", F.timestamp_seconds(F.unix_micros("failed_at") / 1e6 + wait))
+    return again, failures.where(F.col("attempt") >= attempts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import difflib
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions import text as tf
-from weirflow.operators import kernels
+from weirflow.operators import kernels, security
 from weirflow.operators.tokens import Token, closing, tokenize
 
 TIERS = {"safe": 0, "suggested": 1, "risky": 2}
@@ -293,9 +295,9 @@ def disjoint(found: DataFrame) -> DataFrame:
 
 def overlay(found: DataFrame, findings: DataFrame, allow: bool = False) -> DataFrame:
     """`found` with blocked and security_note: an edit over an open finding of high severity is blocked, over others noted."""
-    spans = findings.select("path", F.col("span.start").alias("fs"), F.col("span.end").alias("fe"), F.col("rule_id").alias("finding"), "severity", "status")
+    spans = findings.select(F.col("path").alias("_fp"), F.col("span.start").alias("fs"), F.col("span.end").alias("fe"), F.col("rule_id").alias("finding"), "severity", "status")
     serious = (F.col("status") == "open") & F.col("severity").isin("high", "critical")
-    hit = found.join(spans, (found["path"] == spans["path"]) & (F.col("start") < F.col("fe")) & (F.col("fs") < F.col("end")), "left").drop(spans["path"])
+    hit = found.join(spans, (F.col("path") == F.col("_fp")) & (F.col("start") < F.col("fe")) & (F.col("fs") < F.col("end")), "left").drop("_fp")
     grouped = hit.groupBy(*found.columns).agg(F.coalesce(F.bool_or(serious), F.lit(False)).alias("serious"), F.array_join(F.array_sort(F.collect_set("finding")), ",").alias("notes"))
     return grouped.withColumns({"blocked": F.col("serious") & F.lit(not allow), "security_note": F.when(F.col("notes") != "", F.concat(F.lit("overlaps "), "notes"))}).drop("serious", "notes")
 
@@ -326,3 +328,50 @@ def apply(files: DataFrame, items: DataFrame) -> DataFrame:
     return done.select("path", "raw", "rewritten", F.size("edits").alias("edits"), status.alias("status"))
 
 
+
+
+def file_diffs(applied: DataFrame) -> DataFrame:
+    """(path, status, diff) of `apply`'s rows: what a dry run shows; unchanged and stale files have an empty diff."""
+
+    @F.pandas_udf("string")
+    def unified(paths: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
+        diffs = ("".join(difflib.unified_diff(a.splitlines(True), b.splitlines(True), f"a/{p}", f"b/{p}")) for p, a, b in zip(paths, before, after, strict=True))
+        return pd.Series(list(diffs), dtype=object)
+
+    return applied.select("path", "status", unified("path", "raw", "rewritten").alias("diff"))
+
+
+def verify(stages: DataFrame, findings: DataFrame, severity: str = "medium", rule_ids: list[str] | None = None, most_tier: str = "suggested", baseline: DataFrame | None = None) -> DataFrame:
+    """(problem, path, rule_id) after an application: candidates that remain, and open findings as severe as asked.
+
+    With a baseline only findings that it lacks are problems; the other direction is `security.new_since(baseline, findings)`.
+    """
+    left = disjoint(candidates(stages, rule_ids, most_tier)).select(F.lit("candidate").alias("problem"), "path", "rule_id")
+    found = security.at_least(findings.where("status = 'open'"), severity)
+    found = found if baseline is None else security.new_since(found, baseline)
+    return left.union(found.select(F.lit("finding").alias("problem"), "path", "rule_id"))
+
+
+def merge_suggestions(planned: DataFrame, accepted: DataFrame, findings: DataFrame, most_tier: str = "risky", allow: bool = False) -> DataFrame:
+    """Plan candidates and accepted suggestions together, without overlaps, with the overlay of findings."""
+    own = planned.select("path", "stage", "rule_id", "tier", "start", "end", "before", "after", "reason")
+    extra = accepted.select("path", F.col("path").alias("stage"), "rule_id", "tier", "start", "end", "before", "after", F.col("rationale").alias("reason"))
+    allowed = [t for t, rank in TIERS.items() if rank <= TIERS[most_tier]]
+    return overlay(disjoint(own.unionByName(extra.where(F.col("tier").isin(allowed)))), findings, allow)
+
+
+def write_plan(items: DataFrame, path: str, digest: str) -> None:
+    """A plan as one JSON file; it is an ordered list of bounded size."""
+    rows = [r.asDict(recursive=True) for r in items.orderBy("ordinal").collect()]
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"schema": PLAN_SCHEMA, "v": 1, "plan_hash": digest, "items": rows}, f, sort_keys=True, ensure_ascii=False, indent=1)
+
+
+def read_plan(spark, path: str) -> tuple[DataFrame, str]:
+    with open(path, encoding="utf-8") as f:
+        body = json.load(f)
+    if body.get("schema") != PLAN_SCHEMA or body.get("v") != 1:
+        raise ValueError(f"not a plan of schema {PLAN_SCHEMA}")
+    shape = f"{_CANDIDATE}, blocked boolean, security_note string, ordinal int, change_id string, item_hash string, rule_version int"
+    names = [x.split()[0] for x in shape.split(", ")]
+    return spark.createDataFrame([tuple(i.get(n) for n in names) for i in body["items"]], shape), body["plan_hash"]
