@@ -23,7 +23,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Bound of each worker's table of known chunks.
-KNOWN_CHUNKS = 600_000
+KNOWN_CHUNKS = 150_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -155,7 +155,9 @@ class Codec:
         #: A chunk alone, as a text, is encoded like the chunk only under these settings.
         self._comparable = self.spec.dummy_prefix and not self.spec.squeeze and self.split
         self._plain = [p.replace(MARK, " ") if t in (NORMAL, USER) else None for p, _, t in self.spec.pieces]
-        self._known: dict[str, tuple[bytes, str, bool]] = {}
+        #: Ids of each known chunk; the few whose text is not the chunk itself, or that differ, are spelt out apart.
+        self._known: dict[str, bytes] = {}
+        self._odd: dict[str, tuple[str, bool]] = {}
 
     def normalise(self, text: str) -> str:
         """The text as the model sees it, spaces unmarked and without the dummy prefix."""
@@ -204,6 +206,7 @@ class Codec:
             return
         if len(self._known) > KNOWN_CHUNKS:
             self._known.clear()
+            self._odd.clear()
             new = list(set(chunks))
         lead = MARK if self.spec.dummy_prefix or self.split else ""
         for at in range(0, len(new), 20_000):
@@ -213,20 +216,27 @@ class Codec:
             for c, ids, other in zip(part, mine, truth, strict=True):
                 same = ids == other or not c
                 ids = ids if same else other
-                self._known[c] = array("i", ids).tobytes(), self._surface(ids), same
+                self._known[c] = array("i", ids).tobytes()
+                surface = self._surface(ids)
+                if not same or surface != (lead + c).replace(MARK, " "):
+                    self._odd[c] = surface, same
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str, int]]:
         """(ids as little-endian 32-bit integers, decoded text, chunks that differed from SentencePiece) of each text."""
         cut = [(self._chunks(t) if self.split else [t]) if t else [] for t in map(self.normalise, texts)]
         out = []
-        for at in range(0, len(cut), 256):
-            part = cut[at : at + 256]
+        lead = " " if self.spec.dummy_prefix or self.split else ""
+        for at in range(0, len(cut), 64):
+            part = cut[at : at + 64]
             self.learn([c for chunks in part for c in chunks])
             for chunks in part:
-                got = [self._known[c] for c in chunks]
-                surface = "".join(g[1] for g in got)
+                odd = [self._odd[c] for c in chunks if c in self._odd] if self._odd else []
+                if odd:
+                    surface = "".join([self._odd[c][0] if c in self._odd else lead + c.replace(MARK, " ") for c in chunks])
+                else:
+                    surface = (lead + lead.join(chunks)).replace(MARK, " ") if chunks else ""
                 first = self.spec.dummy_prefix and surface.startswith(" ")
-                out.append((b"".join(g[0] for g in got), surface[1:] if first else surface, sum(not g[2] for g in got)))
+                out.append((b"".join([self._known[c] for c in chunks]), surface[1:] if first else surface, sum(not same for _, same in odd)))
         return out
 
 
@@ -268,8 +278,8 @@ def token_rows(docs: DataFrame, model_path: str, text_col: str = "text", verify:
         if codec is None:
             codec = _CODECS[key] = Codec(shared.value, verify)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 got = codec.encode([t or "" for t in part.column(text_col).to_pylist()])
                 made = {"n_tokens": pa.array([len(g[0]) // 4 for g in got], pa.int64()), "token_ids": pa.array([g[0] for g in got], pa.binary()), "parity_diff": pa.array([g[2] for g in got], pa.int32())}
                 if with_text:
