@@ -63,6 +63,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _side(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = storage.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            storage.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

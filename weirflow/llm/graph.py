@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.storage import materialise
+from weirflow.llm.storage import drop, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     state = None
     while True:
         # The fingerprint of the edge list tells when a round changed nothing.
-        now = materialise(_star(_star(now, True), False), "cc")
+        old, now = now, materialise(_star(_star(now, True), False), "cc")
+        drop(old)
         after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(after) == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

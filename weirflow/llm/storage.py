@@ -44,7 +44,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._weirflow_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table behind a materialised DataFrame that nothing reads any more."""
+    spark, path = df.sparkSession, df._weirflow_path
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def plan_bytes(df: DataFrame) -> int:
