@@ -1,4 +1,4 @@
-"""Command line: parse, lineage, drift, scan, rewrite, history. Exit codes: 0 fine, 1 gate failed, 2 bad input, 5 too large."""
+"""Command line: parse, lineage, drift, scan, rewrite and its session, history, audit. Exit codes: 0 fine, 1 gate failed, 2 bad input, 5 too large."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from weirflow import session
-from weirflow.operators import drift, lineage, parse, plugins, report, rewrite, security
+from weirflow.operators import drift, flow, lineage, parse, plugins, report, rewrite, security, sessions
 from weirflow.sources import files
 from weirflow.sources.store import Store
 
@@ -19,7 +19,7 @@ MOST_STAGES = 10_000
 def _arguments() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="weirflow")
     sub = top.add_subparsers(dest="command", required=True)
-    for name in ("parse", "lineage", "drift", "scan", "rewrite", "history"):
+    for name in ("parse", "lineage", "drift", "scan", "rewrite", "plan", "approve", "apply", "verify", "history", "audit"):
         one = sub.add_parser(name)
         one.add_argument("root")
         one.add_argument("--store")
@@ -30,12 +30,24 @@ def _arguments() -> argparse.ArgumentParser:
         if name == "scan":
             one.add_argument("--severity", default="low", choices=["low", "medium", "high", "critical"])
             one.add_argument("--fail-on-severity", default="high", choices=["none", "low", "medium", "high", "critical"])
-        if name == "rewrite":
+        if name in ("plan", "approve", "apply", "verify"):
+            one.add_argument("--session", required=True)
+        if name in ("plan", "apply"):
+            one.add_argument("--plan", default="plan.json")
+        if name == "verify":
+            one.add_argument("--fail-on-severity", default="medium", choices=["low", "medium", "high", "critical"])
+        if name == "audit":
+            one.add_argument("--session")
+            one.add_argument("--limit", type=int, default=100)
+        if name == "apply":
+            one.add_argument("--out")
+        if name in ("rewrite", "plan", "verify"):
             one.add_argument("--rules", nargs="*")
             one.add_argument("--max-risk", default="suggested", choices=list(rewrite.TIERS))
             one.add_argument("--rules-dir")
             one.add_argument("--allow-on-finding", action="store_true")
-            one.add_argument("--out")
+            if name == "rewrite":
+                one.add_argument("--out")
     return top
 
 
@@ -70,6 +82,22 @@ def _run(args: argparse.Namespace, keep) -> int:
     if args.command == "history":
         _print((store or Store(spark, args.root)).recent_runs(), args.json, "history")
         return 0
+    if args.command in ("plan", "approve", "apply", "verify", "audit") and store is None:
+        print("a session needs --store", file=sys.stderr)
+        return 2
+    if args.command == "audit":
+        _print(store.audit_log(args.session, args.limit).orderBy("audit_id"), args.json, "audit")
+        return 0
+    if args.command in ("approve", "apply"):
+        try:
+            if args.command == "approve":
+                flow.approve(store, args.session)
+            else:
+                _print(flow.apply(store, args.session, files.project(spark, args.root), args.root, args.plan, args.out), args.json, "apply")
+        except (ValueError, OSError, sessions.TransitionError) as error:
+            print(error, file=sys.stderr)
+            return 2
+        return 0
     if args.command == "scan":
         small, large = files.scan_corpus(spark, args.root)
         found = keep(security.scan(small))
@@ -96,15 +124,27 @@ def _run(args: argparse.Namespace, keep) -> int:
     if args.command == "parse":
         _print(stages.drop("raw").orderBy("path"), args.json, "parse")
         return 0
-    if args.command == "rewrite":
+    if args.command in ("rewrite", "plan", "verify"):
         rules = plugins.load(args.rules_dir, lambda m: print(m, file=sys.stderr)) if args.rules_dir else None
         named = lineage.one_per_name(stages).select("path", "name", "raw", F.transform("columns", lambda c: c["name"]).alias("columns"))
+        scanned = security.scan(files.scan_corpus(spark, args.root)[0])
+        if args.command == "verify":
+            problems = keep(rewrite.verify(named, scanned, args.fail_on_severity, args.rules, args.max_risk))
+            _print(problems, args.json, "verify")
+            return int(not flow.verify(store, args.session, problems))
         found = rewrite.disjoint(rewrite.candidates(named, args.rules, args.max_risk, rules))
-        items = keep(rewrite.plan(rewrite.overlay(found, security.scan(files.scan_corpus(spark, args.root)[0]), args.allow_on_finding)))
+        items = keep(rewrite.plan(rewrite.overlay(found, scanned, args.allow_on_finding)))
         if items.count() > rewrite.MOST_CANDIDATES:
             return 5
         _print(items.drop("item_hash").orderBy("ordinal"), args.json, "plan")
-        if args.out:
+        if args.command == "plan":
+            prints = stages.agg(F.array_join(F.array_sort(F.collect_list("fingerprint")), ",").alias("f")).first().f
+            try:
+                print(flow.plan(store, args.session, items, args.root, prints, args.max_risk, args.plan))
+            except sessions.TransitionError as error:
+                print(error, file=sys.stderr)
+                return 2
+        elif args.out:
             for row in rewrite.apply(stages, items.where("not blocked")).where("status = 'applied'").toLocalIterator():
                 target = Path(args.out) / row.path
                 target.parent.mkdir(parents=True, exist_ok=True)

@@ -45,9 +45,8 @@ def top_open_findings(t):
 @query(f"with f as {_FINDINGS} select distinct rule_id, path, line from f a where run >= date '2024-01-01' + 0 and run = (select max(run) from f) and status = 'open' and not exists (select 1 from f b where b.run < (select max(run) from f) and b.status = 'open' and a.rule_id = b.rule_id and a.path = b.path and a.line = b.line and a.col = b.col)".replace("run >= date '2024-01-01' + 0 and ", ""))
 def new_vs_baseline_anti(t):
     f = _findings(t)
-    latest = F.broadcast(f.agg(F.max("run").alias("latest")))
-    f = f.crossJoin(latest)  # one row: the latest run
-    return security.new_since(f.where("run = latest"), f.where("run < latest")).select("rule_id", "path", "line").distinct()
+    latest = f.agg(F.max("run")).first()[0]
+    return security.new_since(f.where(F.col("run") == F.lit(latest)), f.where(F.col("run") < F.lit(latest))).select("rule_id", "path", "line").distinct()
 
 
 @query("select event_id, user_id, event_type from events order by event_id desc limit 10")
