@@ -54,7 +54,7 @@ def _code(t):
     return t.part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), F.when(F.col("p_partkey") % 8 == 5, "sql").otherwise("py").alias("ext"), F.expr(_CODE).alias("content"))
 
 
-@query("select 'p' || p_partkey as path, 1 as line, 1 + length('cur.') as col from part where p_partkey % 8 = 0")
+@query("select 'p' || p_partkey as path, 1 as line, (1 + length('cur.'))::int as col from part where p_partkey % 8 = 0")
 def sql_interpolation(t):
     return security.scan(_code(t), ["SEC-002"]).select("path", "line", "col")
 
@@ -64,7 +64,7 @@ def unsafe_subprocess(t):
     return security.scan(_code(t), ["SEC-003"]).select("path", "line", "status")
 
 
-@query("select 'p' || p_partkey as path, 7 as start, 7 + length('jdbc:postgresql://h/' || p_partkey) as \"end\" from part where p_partkey % 8 = 2")
+@query("select 'p' || p_partkey as path, 7 as start, (7 + length('jdbc:postgresql://h/' || p_partkey))::int as \"end\" from part where p_partkey % 8 = 2")
 def conn_string(t):
     return security.scan(_code(t), ["SEC-004"]).select("path", "span.start", "span.end")
 
