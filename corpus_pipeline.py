@@ -17,7 +17,7 @@ def _side(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from the labels of the documents at hand."""
     weights = quality.fit(docs, _side(spark, sf_dir, "labels"))
-    return quality.scored(docs, weights).where("quality_score >= 0.5").select(*docs.columns)
+    return quality.kept(docs, weights)
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -262,13 +262,15 @@ _CODECS: dict[str, Codec] = {}
 
 
 def token_rows(docs: DataFrame, model_path: str, text_col: str = "text", verify: bool = True, with_text: bool = True) -> DataFrame:
-    """`docs` without its text, with n_tokens, token_ids (binary, 32-bit little-endian), decoded and parity_diff.
+    """`docs` without its text, with n_tokens, token_ids (binary, 32-bit little-endian), decoded and parity_diff in place of
+    columns of those names.
 
     Null and empty texts have no tokens. A text that holds the marker U+2581 decodes with a space in its place, as
     SentencePiece has it. The model file is read on the driver and sent along, so executors need no file of their own.
     """
     with open(model_path, "rb") as f:
         raw = f.read()
+    docs = docs.drop("n_tokens", "token_ids", "decoded", "parity_diff")
     shared = docs.sparkSession.sparkContext.broadcast(raw)
     key = hashlib.sha256(raw).hexdigest() + str(verify)
     kept = [c for c in docs.columns if c != text_col]

@@ -133,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed=None, rows: int = TRAIN_ROWS
 
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """`docs` with `quality_score`; null and empty texts score the bias alone."""
+    """`docs` with `quality_score`, in place of a column of that name; null and empty texts score the bias alone."""
+    docs = docs.drop("quality_score")
     model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
 
@@ -144,3 +145,16 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*batch.schema.names, "quality_score"])
 
     return docs.mapInArrow(run, schema)
+
+
+def kept(docs: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFrame:
+    """The rows of `docs` that score `least` or more, with all their columns; null and empty texts score the bias alone."""
+    model = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = model.value.astype(np.float64)
+        for batch in batches:
+            parts = [score(w, buf, offsets) for _, _, buf, offsets in tx.text_parts(batch.column("text"))]
+            yield batch.filter(pa.array((np.concatenate(parts) if parts else np.zeros(0)) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

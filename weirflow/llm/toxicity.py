@@ -248,7 +248,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed=None, rows: int = TRAIN_ROWS
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with `toxic_score` and `toxic_evidence`; null and empty texts have no neighbours and score the prior."""
+    """`docs` with `toxic_score` and `toxic_evidence`, in place of columns of those names; null and empty texts have no neighbours and score the prior."""
+    docs = docs.drop("toxic_score", "toxic_evidence")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_evidence", T.StringType())])
 
