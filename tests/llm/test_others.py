@@ -143,6 +143,38 @@ def test_spots(spark):
     assert spots.pruned_jaccard(a, b, 0.9) == 0.0
 
 
+def test_spot_classes(spark):
+    import itertools
+    import random
+
+    rng = random.Random(6)
+    words = lambda n: [rng.choice(["the", "of", "a", *(f"k{rng.randrange(900)}" for _ in range(4))]) for _ in range(n)]
+    texts = []
+    for _ in range(6):
+        base = words(120)
+        for edits in (0, 0, 1, 2, 3, 6, 9):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts += ["", "", "x y", "the a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(s.tolist()) for s in spots._sets(texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r.doc_id: (r.n_signatures, r.class_id) for r in spots.near_duplicate_classes(docs).collect()}
+    assert got == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
+    assert spots.near_duplicate_classes(docs.limit(0)).count() == 0
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.com/en/x?q", "https://EXAMPLE.com/en/", "https://www.example.com/en/y#f", "http://b.com", "http://b.com/", "ftp://x.net/fr/1", "http://net/es/", "http://notexample.com/en/", "nourl", "", None, "http://x.net/en", "http://www.example.com/en/deep/z", "://h?x", "http://com:80/en/"]
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"), ("example.com", "/en/x", "allow"), ("www.example.com", "/en/deep/", "block")]

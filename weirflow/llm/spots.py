@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.llm import storage
 from weirflow.llm import textops as tx
+from weirflow.llm.graph import components
 
 CHAIN = 2
 #: Rows a range bucket should hold, and the bound of the number of buckets (their first ids are broadcast).
@@ -161,3 +163,58 @@ def compare_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     places = F.when(F.expr("doc_id <=> first"), F.array(own, copy)).otherwise(F.array(own))
     dealt = rows.select("doc_id", "text", F.explode(places).alias("p")).select("p.bucket", "p.copy", "doc_id", "text")
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "copy", F.col("doc_id").asc_nulls_last(), "text").mapInArrow(_walk, _OUT)
+
+
+def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, buf, offsets in tx.text_parts(batch.column(1)):
+            v, o = spot_sets(buf, offsets)
+            sets = pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(v.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], sets], names=["doc_id", "sigs"])
+
+
+def _near(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(i).to_pylist() for i in (2, 3))
+            sims = [pruned_jaccard(np.array(x, U64), np.array(y, U64), least) for x, y in zip(a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
+
+    return run
+
+
+def near_duplicate_classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: (doc_id, n_signatures, class_id), the smallest id reachable by fingerprints `least` similar.
+
+    Equal fingerprints are one node. Nodes are indexed in their length partition and the next by the rarest signatures of their
+    set, as many as two similar sets must share one of; a list's members are compared with its smallest member first, and
+    only those still in different classes with each other. Rows of a null id are their own class, null.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_print_rows, "doc_id long, sigs array<long>")
+    rows = storage.materialise(rows.withColumn("h", F.sha2(F.array_join("sigs", ","), 256)), "spots")
+    rep = rows.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs"))
+    node = storage.materialise(rep.where("rep is not null").select(F.col("rep").alias("node"), "sigs", F.size("sigs").alias("n")), "spot-nodes")
+    each = node.select("node", "n", F.explode("sigs").alias("sig"))
+    ranked = each.join(each.groupBy("sig").agg(F.count("*").alias("df")), "sig")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "sig"))
+    prefix = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    part = F.when(F.col("n") <= 1, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / -float(np.log(min(least, 0.999))))).cast("int")
+    lists = prefix.withColumn("part", F.explode(F.array(part, part + 1)))
+    leaders = lists.groupBy("part", "sig").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
+    lists = storage.materialise(lists.join(leaders, ["part", "sig"]).select("part", "sig", "node", "n", "leader"), "spot-lists")
+    sets = lambda name: node.select(F.col("node").alias(name), F.col("sigs").alias(f"s{name}"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "sa", "sb")
+        return both.mapInArrow(_near(least), "a long, b long, sim double").where(F.col("sim") >= least).select("a", "b")
+
+    links = storage.materialise(linked(lists.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()), "spot-links")
+    named = components(links, "a", "b")
+    now = lists.join(named, "node", "left").select("part", "sig", "node", "n", F.coalesce("component", "node").alias("c"))
+    open_ = now.join(now.groupBy("part", "sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("part", "sig"), ["part", "sig"])
+    other = open_.select("part", "sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+    rest = open_.join(other, ["part", "sig"]).where((F.col("node") > F.col("b")) & (F.col("c") != F.col("d")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))).select(F.col("node").alias("a"), "b").distinct()
+    more = storage.materialise(linked(rest), "spot-links")
+    named = components(links.union(more), "a", "b")
+    out = rows.join(rep.select("h", "rep"), "h").join(named, F.col("rep") == F.col("node"), "left")
+    return out.select("doc_id", F.size("sigs").cast("long").alias("n_signatures"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("class_id"))
