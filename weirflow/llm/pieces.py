@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from weirflow.llm import textops as tx
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -209,8 +211,8 @@ class Codec:
             self._odd.clear()
             new = list(set(chunks))
         lead = MARK if self.spec.dummy_prefix or self.split else ""
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), 5_000):
+            part = new[at : at + 5_000]
             mine = [e.ids for e in self.tokenizer.encode_batch_fast([lead + c for c in part], add_special_tokens=False)]
             truth = self._judge.encode(part, num_threads=1) if self._judge is not None and self._comparable else mine
             for c, ids, other in zip(part, mine, truth, strict=True):
@@ -278,6 +280,7 @@ def token_rows(docs: DataFrame, model_path: str, text_col: str = "text", verify:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _CODECS.get(key)
         if codec is None:
+            tx.trim()
             codec = _CODECS[key] = Codec(shared.value, verify)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -287,6 +290,7 @@ def token_rows(docs: DataFrame, model_path: str, text_col: str = "text", verify:
                 if with_text:
                     made["decoded"] = pa.array([g[1] for g in got], pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made.values()], names=[*kept, *made])
+            tx.trim()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
     return docs.mapInArrow(run, f"{fields}, n_tokens long, token_ids binary, parity_diff int" + ", decoded string" * with_text)

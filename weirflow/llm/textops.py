@@ -7,6 +7,8 @@ passes instead of a Python loop over words. Words are maximal runs of bytes othe
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -54,6 +56,18 @@ def text_parts(column: pa.Array, part_bytes: int = PART_BYTES) -> Iterator[tuple
         end = min(n, max(end, first + 1))
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+    if offsets[-1] - offsets[0] > PART_BYTES:
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on from one stage to the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
