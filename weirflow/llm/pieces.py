@@ -10,6 +10,7 @@ call. Each distinct chunk is also encoded by SentencePiece itself, and differenc
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 from array import array
@@ -25,7 +26,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Bound of each worker's table of known chunks.
-KNOWN_CHUNKS = 150_000
+KNOWN_CHUNKS = 60_000
+#: Threads of a worker's encoder; an executor has a worker for each of its cores.
+ENCODE_THREADS = "2"
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -280,7 +283,8 @@ def token_rows(docs: DataFrame, model_path: str, text_col: str = "text", verify:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _CODECS.get(key)
         if codec is None:
-            tx.trim()
+            os.environ.setdefault("RAYON_NUM_THREADS", ENCODE_THREADS)
+            tx.release()
             codec = _CODECS[key] = Codec(shared.value, verify)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -70,6 +70,13 @@ def trim() -> None:
         pass
 
 
+def release() -> None:
+    """Drop the hash tables, which the next hashing makes again, and trim."""
+    global _POWERS
+    _POWERS = (np.zeros(0, U64), np.zeros(0, U64))
+    trim()
+
+
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
