@@ -105,6 +105,26 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_repeated_and_small_vocabulary_items(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    sums = [f"Tom has {i} red apples and buys {i % 7 + 2} more apples at the shop. How many apples does Tom have now in total? Tom has {i + i % 7 + 2} apples." for i in range(10, 50)]
+    small = [" ".join(rng.choice([f"v{k}" for k in range(12)], 40)) for _ in range(40)]
+    filler = " ".join(f"f{i % 97}x" for i in range(150))
+    for items in ([" ".join(f"r{k}" for k in range(30))] * 3 + [" ".join(f"u{i}x{k}" for k in range(20)) for i in range(40)], sums, small):
+        bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+        docs = spark.createDataFrame([(i, f"{filler} {t} {filler}") for i, t in enumerate(items)] + [(99, filler)], "doc_id long, text string")
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+        assert {(i, j) for i, t in enumerate(items) for j, other in enumerate(items) if t == other} <= got
+        assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [99]
+    index = decontaminate.ItemIndex([(i, t, "") for i, t in enumerate(small)])
+    assert index.rest.max() < decontaminate.RATIO
+    raw = np.frombuffer(" ".join(small).encode(), np.uint8)
+    w = decontaminate.tx.normal(raw, np.array([0, len(raw)]))
+    whole = list(index.passages(decontaminate.tx.span_hashes(w.buf, w.starts, w.ends), w.off))
+    monkeypatch.setattr(decontaminate, "POSTINGS", 50)
+    assert whole and list(index.passages(decontaminate.tx.span_hashes(w.buf, w.starts, w.ends), w.off)) == whole
+
+
 def test_block_max_loses_nothing():
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(400)]

@@ -3,9 +3,10 @@
 Test items are cut into parts of at most `PART_WORDS` words. Texts are cut into cells as long as the longest part, and
 two neighbouring cells are a passage, so any part found in a text lies whole in some passage. A passage asks for all parts
 whose BM25 score is at least `RATIO` of the part's score against itself; impacts are stored divided by that self score, so
-one threshold holds for all lists. As in WAND, the lists of common terms are not essential: their greatest total is
-a constant of the part. Essential lists are summed first by blocks of parts with their block maxima, for all passages of a
-batch at once; only blocks whose bound reaches the threshold have their parts scored exactly.
+one threshold holds for all lists. As in WAND, common terms of a part are not essential: their total is a constant of the
+part and stays under the threshold, so no part is reached without an essential term. Essential postings are summed first by
+blocks of parts with their block maxima, for all passages of a batch at once; only blocks whose bound reaches the threshold
+have their parts scored exactly. Items of equal words are one item with several ids.
 
 A hit is verified on the whole item: at least `OVERLAP` of the words of its question and of its answer must appear in the
 passage region in order, anchored by a common five-word shingle. An item without an answer of its own (no `answer` column)
@@ -31,6 +32,8 @@ OVERLAP = 0.8
 PART_WORDS = 96
 BLOCK = 8
 SHINGLE = 5
+#: Postings summed at a time.
+POSTINGS = 1 << 21
 #: Bound of the index that is sent to the executors; more test text than this is refused.
 INDEX_BYTES = 256 << 20
 U64 = np.uint64
@@ -63,7 +66,10 @@ class ItemIndex:
     """Parts of the items as block-max posting lists of impacts relative to the self score."""
 
     def __init__(self, items: list[tuple[int, str, str]]):
-        self.items = [(i, normal_words(q), normal_words(a)) for i, q, a in items]
+        same: dict[tuple, list[int]] = {}
+        for i, q, a in items:
+            same.setdefault((tuple(normal_words(q)), tuple(normal_words(a))), []).append(i)
+        self.items = [(ids, list(q), list(a)) for (q, a), ids in same.items()]
         self.parts: list[tuple[int, list[bytes]]] = []
         for k, (_, q, a) in enumerate(self.items):
             words = q + a
@@ -84,13 +90,18 @@ class ItemIndex:
             for p, tf in posts.items():
                 posts[p] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(self.parts[p][1]) / mean))
                 own[p] += posts[p]
-        essential = [len(posts) <= max(2, n // 25) for posts in lists]
         self.rest = np.zeros(n)
-        for posts, e in zip(lists, essential, strict=True):
+        essential: list[set[int]] = [set() for _ in lists]
+        # The most common terms first: a term is left out of the search only while the part's total of such terms stays under RATIO.
+        for t in sorted(range(len(lists)), key=lambda t: -len(lists[t])):
+            posts = lists[t]
+            common = len(posts) > max(2, n // 25)
             for p in posts:
                 posts[p] /= own[p]
-                if not e:
+                if common and self.rest[p] + posts[p] < RATIO - 1e-6:
                     self.rest[p] += posts[p]
+                else:
+                    essential[t].add(p)
         blocks = -(-n // BLOCK)
         self.lists: list[dict[bytes, list[tuple[int, float]]]] = [{} for _ in range(blocks)]
         for w, posts in zip(terms, lists, strict=True):
@@ -99,11 +110,10 @@ class ItemIndex:
         self.block_rest = np.array([self.rest[b * BLOCK : (b + 1) * BLOCK].max() for b in range(blocks)])
         rows = []
         for t, posts in enumerate(lists):
-            if essential[t]:
-                best: dict[int, float] = {}
-                for p, x in posts.items():
-                    best[p // BLOCK] = max(best.get(p // BLOCK, 0), x)
-                rows += [(tx.hash_word(terms[t]), b, x) for b, x in best.items()]
+            best: dict[int, float] = {}
+            for p in essential[t]:
+                best[p // BLOCK] = max(best.get(p // BLOCK, 0), posts[p])
+            rows += [(tx.hash_word(terms[t]), b, x) for b, x in best.items()]
         rows.sort()
         h = np.array([r[0] for r in rows], U64)
         self.terms, first = np.unique(h, return_index=True) if len(h) else (h, np.zeros(0, np.int64))
@@ -126,6 +136,18 @@ class ItemIndex:
         # A term counts once a cell.
         key = np.unique(cell * len(self.terms) + term)
         cell, term = key // len(self.terms), key % len(self.terms)
+        upto = np.concatenate([[0], np.cumsum(self.first[term + 1] - self.first[term])])
+        s = 0
+        while s < len(cell):
+            last = cell[max(s, np.searchsorted(upto, upto[s] + POSTINGS, "right") - 2)]
+            e, reach = np.searchsorted(cell, [last, last + 1], "right")
+            cells, block = self._reaching(cell[s:reach], term[s:reach], last)
+            row = np.searchsorted(base, cells, "right") - 1
+            yield from zip(row.tolist(), (cells - base[row]).tolist(), block.tolist(), strict=True)
+            s = e
+
+    def _reaching(self, cell: np.ndarray, term: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, block) whose bound, with the cell after it, reaches the threshold; cells up to `last`."""
         many = self.first[term + 1] - self.first[term]
         post = np.repeat(self.first[term], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         key = np.repeat(cell, many) * len(self.block_rest) + self.block[post]
@@ -136,9 +158,8 @@ class ItemIndex:
         follows = (after < len(key)) & (key[np.minimum(after, len(key) - 1)] == key + len(self.block_rest))
         second = np.where(follows, total[np.minimum(after, len(key) - 1)], 0)
         # The passage that starts at a cell, and the one that ends at it, when no hit of the block is in the cell before.
-        good = total + second + self.block_rest[block] >= RATIO - 1e-9
-        row = np.searchsorted(base, cell[good], "right") - 1
-        yield from zip(row.tolist(), (cell[good] - base[row]).tolist(), block[good].tolist(), strict=True)
+        good = (total + second + self.block_rest[block] >= RATIO - 1e-9) & (cell <= last)
+        return cell[good], block[good]
 
     def score(self, words: set[bytes], block: int) -> list[tuple[int, float]]:
         """Parts of the block whose exact relative score reaches the threshold."""
@@ -221,7 +242,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         index = shared.value
         for batch in batches:
             ids = batch.column(0)
-            rows = [dict(zip(_HIT_ARROW.names, (ids[r].as_py(), index.items[i][0], lo, s, q, a), strict=True)) for r, found in _hits(index, batch.column(1)) for i, lo, s, q, a in found]
+            rows = [dict(zip(_HIT_ARROW.names, (ids[r].as_py(), item, lo, s, q, a), strict=True)) for r, found in _hits(index, batch.column(1)) for i, lo, s, q, a in found for item in index.items[i][0]]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, _HIT_ARROW)
 
