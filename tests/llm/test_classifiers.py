@@ -60,6 +60,34 @@ def test_toxicity(spark):
     assert toxicity.scored(docs, toxicity.fit(docs, labels.limit(0))).select("toxic_score").distinct().count() == 1
 
 
+def test_toxicity_vectors_are_of_whole_texts(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(60)], 12)) + (" vilest" if i % 4 == 0 else " calm") + f" only{i}x" for i in range(120)]
+    docs = spark.createDataFrame([*enumerate(texts), (500, "w1 w2 w3"), (502, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    out = {r.doc_id: r for r in toxicity.scored(docs, model).collect()}
+    assert all(out[d].toxic_evidence for d in [*range(120), 500])
+    inside = [int(i) for i in model.index.ids]
+    vecs = {}
+    for d in [*inside, 500]:
+        raw = np.frombuffer((texts[d] if d < 500 else "w1 w2 w3").encode(), np.uint8)
+        h, off = toxicity._lowered(raw, np.array([0, len(raw)]))
+        h = h[h != 0]
+        assert np.isin(h, model.terms).all()
+        whole = np.zeros(len(model.terms))
+        np.add.at(whole, np.searchsorted(model.terms, h), 1)
+        whole = np.where(whole > 0, (1 + np.log(np.maximum(whole, 1))) * model.weight, 0)
+        vecs[d] = whole / np.linalg.norm(whole)
+    for d in [*inside[:10], 500]:
+        want = sorted((float(vecs[d] @ vecs[i]) for i in inside), reverse=True)[: toxicity.NEIGHBOURS]
+        assert np.allclose([float(x.split(":")[1]) for x in out[d].toxic_evidence.split(",")], [x for x in want if x > 0], atol=1e-4)
+    own = inside[0]
+    alone = spark.createDataFrame([(600, f"only{own}x")], "doc_id long, text string")
+    assert str(own) in [x.split(":")[0] for x in toxicity.scored(alone, model).first().toxic_evidence.split(",")]
+    assert out[502].toxic_evidence == ""
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(1)
     examples = []

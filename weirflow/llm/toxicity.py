@@ -1,15 +1,17 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are lower-cased tokens and token prefixes that tell the labels of the training sample apart (a chi-square test); their document
-frequencies are counted over all documents. Labelled examples go into an inverted index whose posting lists are cut into
-blocks of examples with the greatest weight of each block. A text visits blocks in order of their upper bounds and stops at
-the first that cannot reach its k-th best, which loses nothing. Neighbours vote with the square of their cosine, and a
+Terms are the lower-cased tokens and token prefixes of the training sample, all of them; those that tell its labels apart (a chi-square
+test) weigh `TELLING` times as much, because a few telling words drown in whole-text vectors. Document frequencies are counted over
+all documents. Labelled examples go into an inverted index: the posting lists of rare terms are summed whole, those of common terms
+are cut into blocks of examples with the greatest weight of each block. A text visits blocks in order of their upper bounds and
+stops at the first that cannot reach its k-th best, which loses nothing. Neighbours vote with the square of their cosine, and a
 logistic curve fitted on labelled rows outside the index turns the vote into a calibrated score; the neighbours are the
-evidence. The sample has `TRAIN_ROWS` rows at most, so the index and the model have a proven bound.
+evidence. The sample has `TRAIN_ROWS` rows at most, so the model's size follows their texts, not the table.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,18 +23,21 @@ from pyspark.sql import types as T
 from weirflow.llm import textops as tx
 from weirflow.llm.quality import labelled_sample, token_spans
 
-#: Bounds of the training sample, of its part in the index, and of the terms.
+#: Bounds of the training sample, of its part in the index, and of the terms that weigh more.
 TRAIN_ROWS = 6000
 INDEX_SHARE = 0.75
 TERMS = 1024
 LEAST_CHI2 = 18.0
+TELLING = 16.0
+#: Terms in more than one of so many examples are common.
+COMMON = 4
 #: Prefixes, in bytes, that are terms too: inflected forms share them.
 PREFIXES = (4, 6, 7)
 SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
 NEIGHBOURS = 15
 BLOCK = 64
-#: Blocks visited at a time.
+#: Blocks visited first; each next visit takes twice as many.
 VISIT = 6
 PRIOR_WEIGHT = 0.5
 U64 = np.uint64
@@ -82,18 +87,24 @@ def choose_terms(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
 
 
 def matches(h: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of `h` that hold terms, and which; a small table of low bits sorts most of the others out."""
+    """Places of `h` that hold terms, and which; a table of low bits sorts most of the others out."""
     if not len(terms):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    maybe = np.zeros(1 << 16, bool)
-    maybe[(terms & U64(0xFFFF)).astype(np.int64)] = True
-    place = np.flatnonzero(maybe[h.astype(np.uint16)])
+    maybe = np.zeros(SLOTS, bool)
+    maybe[(terms & U64(SLOTS - 1)).astype(np.int64)] = True
+    place = np.flatnonzero(maybe[(h & U64(SLOTS - 1)).astype(np.int64)])
     at = np.minimum(np.searchsorted(terms, h[place]), len(terms) - 1)
     hit = terms[at] == h[place]
     return place[hit], at[hit]
 
 
-def vectors(h: np.ndarray, off: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def unit(t: np.ndarray, tf: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = (1 + np.log(tf)) * weight[t]
+    norm = np.sqrt(w @ w)
+    return t, (w / norm if norm > 0 else w)
+
+
+def vectors(h: np.ndarray, off: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(term numbers, unit-length weights) of each row."""
     place, found = matches(h, terms)
     cut = np.searchsorted(place, off)
@@ -102,10 +113,7 @@ def vectors(h: np.ndarray, off: np.ndarray, terms: np.ndarray, idf: np.ndarray)
         if cut[i] == cut[i + 1]:
             yield none
             continue
-        t, tf = np.unique(found[cut[i] : cut[i + 1]], return_counts=True)
-        w = (1 + np.log(tf)) * idf[t]
-        norm = np.sqrt(w @ w)
-        yield t, (w / norm if norm > 0 else w)
+        yield unit(*np.unique(found[cut[i] : cut[i + 1]], return_counts=True), weight)
 
 
 class Index:
@@ -120,25 +128,42 @@ class Index:
         owner = np.repeat(np.arange(n), [len(e[2]) for e in examples]).astype(np.int64)
         term = np.concatenate([*(e[2] for e in examples), np.zeros(0, np.int64)]).astype(np.int64)
         weight = np.concatenate([*(e[3] for e in examples), np.zeros(0)])
-        #: Posting lists by term and block; the examples and terms are bounded, so lists are kept with their zeros.
-        self.lists = np.zeros((terms, self.blocks, BLOCK), np.float32)
-        self.lists[term, owner // BLOCK, owner % BLOCK] = weight
-        self.greatest = np.zeros((terms, self.blocks))
-        np.maximum.at(self.greatest, (term, owner // BLOCK), weight)
+        many = np.bincount(term, minlength=terms)
+        common = many > n / COMMON
+        #: Where a common term is in `lists`, else -1.
+        self.common = np.where(common, np.cumsum(common) - 1, -1)
+        #: Posting lists of common terms by term and block; the examples are bounded, so lists are kept with their zeros.
+        self.lists = np.zeros((int(common.sum()), self.blocks, BLOCK), np.float32)
+        here = common[term]
+        at = self.common[term[here]], owner[here] // BLOCK
+        self.lists[*at, owner[here] % BLOCK] = weight[here]
+        self.greatest = np.zeros(self.lists.shape[:2])
+        np.maximum.at(self.greatest, at, weight[here])
+        #: Posting lists of the other terms, one after another.
+        order = np.flatnonzero(~here)[np.argsort(term[~here], kind="stable")]
+        self.owner, self.weight = owner[order].astype(np.int32), weight[order].astype(np.float32)
+        self.first = np.concatenate([[0], np.cumsum(np.where(common, 0, many))]).astype(np.int64)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest with a common term; ties go to the example first in the index."""
         if not len(t) or not self.blocks:
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.greatest[t]
+        dense = self.common[t] >= 0
+        rare, wr, t, w = t[~dense], w[~dense], self.common[t[dense]], w[dense]
+        many = self.first[rare + 1] - self.first[rare]
+        post = np.arange(many.sum()) + np.repeat(self.first[rare] - np.cumsum(many) + many, many)
+        sums = np.bincount(self.owner[post], np.repeat(wr, many) * self.weight[post], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        bound = sums.max(axis=1) + w @ self.greatest[t]
         order = np.argsort(-bound, kind="stable")
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for s in range(0, self.blocks, VISIT):
-            some = order[s : s + VISIT]
+        s, visit = 0, VISIT
+        while s < self.blocks:
+            some = order[s : s + visit]
+            s, visit = s + visit, 2 * visit
             some = some[bound[some] > (best[-1] - 1e-6 if len(best) == k else 0)]
             if not len(some):
                 break
-            sims = np.tensordot(w, self.lists[t[:, None], some].astype(float), 1)
+            sims = sums[some] + np.tensordot(w, self.lists[t[:, None], some].astype(float), 1)
             b, j = np.nonzero(sims > 0)
             best_at, best = np.append(best_at, some[b] * BLOCK + j), np.append(best, sims[b, j])
             top = np.lexsort((best_at, -np.round(best, 6)))[:k]
@@ -165,13 +190,13 @@ def calibrate(vote: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    def __init__(self, terms, idf, index, prior, curve):
-        self.terms, self.idf, self.index, self.prior, self.curve = terms, idf, index, prior, curve
+    def __init__(self, terms, weight, index, prior, curve):
+        self.terms, self.weight, self.index, self.prior, self.curve = terms, weight, index, prior, curve
         self._known: dict[bytes, tuple[float, str]] = {}
 
     def rate(self, t: np.ndarray, w: np.ndarray) -> tuple[float, str]:
         """Calibrated score and the evidence, `id:cosine:label` of the neighbours."""
-        key = t.astype(np.int16).tobytes() + w.tobytes()
+        key = hashlib.blake2b(t.astype(np.int32).tobytes() + w.tobytes(), digest_size=16).digest()
         if (old := self._known.get(key)) is None:
             at, sim = self.index.nearest(t, w)
             p = 1 / (1 + np.exp(-(self.curve[0] * self.index.vote(at, sim, self.prior) + self.curve[1])))
@@ -182,14 +207,14 @@ class Model:
         return old
 
 
-def build(ids: list[int], label: np.ndarray, rows: list[np.ndarray], terms: np.ndarray, idf: np.ndarray) -> Model:
-    """`rows` are the token hashes of each labelled text."""
-    vecs = [next(vectors(h, np.array([0, len(h)]), terms, idf)) for h in rows]
-    cut = int(len(rows) * INDEX_SHARE)
+def build(ids: list[int], label: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray, weight: np.ndarray) -> Model:
+    """`bags` are the terms and their counts of each labelled text."""
+    vecs = [unit(np.searchsorted(terms, v), n, weight) for v, n in bags]
+    cut = int(len(bags) * INDEX_SHARE)
     index = Index([(ids[i], int(label[i]), *vecs[i]) for i in range(cut)], len(terms))
     prior = float(label[:cut].mean()) if cut else 0.5
     votes = np.array([index.vote(*index.nearest(*v), prior) for v in vecs[cut:]])
-    return Model(terms, idf, index, prior, calibrate(votes, label[cut:]))
+    return Model(terms, weight, index, prior, calibrate(votes, label[cut:]))
 
 
 def _packed(h: np.ndarray) -> bytes:
@@ -225,7 +250,8 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
                     hit, at = matches(h, wanted)
                     pairs = np.unique((np.searchsorted(off, hit, "right") - 1) * len(wanted) + at)
                     df += np.bincount(pairs % len(wanted), minlength=len(wanted))
-        yield pa.RecordBatch.from_pydict({"term": np.arange(-1, len(wanted)), "n": np.append(n, df)})
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": np.append(-1, some), "n": np.append(n, df[some])})
 
     counted = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(terms) + 1, np.int64)
@@ -241,10 +267,11 @@ def fit(docs: DataFrame, labels: DataFrame, allowed=None, rows: int = TRAIN_ROWS
     del found
     bags = [_unpacked(r[2]) for r in rows_in]
     label = np.array([r[1] for r in rows_in], float)
-    terms = choose_terms([b[0] for b in bags], label)
-    rows_of_terms = [np.repeat(v[hit], n[hit]) for v, n in bags for hit in [np.isin(v, terms)]]
+    telling = choose_terms([b[0] for b in bags], label)
+    terms = np.unique(np.concatenate([np.zeros(0, U64), *(b[0] for b in bags)]))
     df, n = document_frequencies(docs, terms)
-    return build([r[0] for r in rows_in], label, rows_of_terms, terms, np.log((n + 1) / (df + 1)) + 1)
+    weight = (np.log((n + 1) / (df + 1)) + 1) * np.where(np.isin(terms, telling), TELLING, 1.0)
+    return build([r[0] for r in rows_in], label, bags, terms, weight)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -256,7 +283,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            got = [m.rate(t, w) for _, _, buf, offsets in tx.text_parts(batch.column("text")) for t, w in vectors(*_lowered(buf, offsets), m.terms, m.idf)]
+            got = [m.rate(t, w) for _, _, buf, offsets in tx.text_parts(batch.column("text")) for t, w in vectors(*_lowered(buf, offsets), m.terms, m.weight)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.string())], names=[*batch.schema.names, "toxic_score", "toxic_evidence"])
 
     return docs.mapInArrow(run, schema)
