@@ -122,3 +122,19 @@ def test_orchestration(spark):
     failed = spark.sql("select 1 as attempt, timestamp '2024-01-01 00:00:00' as failed_at union all select 3, timestamp '2024-01-01 00:00:00'")
     again, dead = history.retry_schedule(failed)
     assert str(again.first().retry_after) == "2024-01-01 00:00:02" and dead.count() == 1
+
+
+def test_numbering_of_a_whole_table_without_one_task(spark):
+    from weirflow.operators import history
+
+    rows = spark.range(4000).selectExpr("id", "if(id % 50 = 0, null, id * 7919 % 13) as day").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = history.numbered(rows, ["day", "id"]).localCheckpoint()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted(((r.day is not None, r.day or 0, r.id) for r in rows.collect()))
+    assert {r.id: r.change_id for r in got.collect()} == {x[2]: f"c{i}" for i, x in enumerate(want)}
+    assert got.select("change_id").distinct().count() == 4000
+    ranges = history.numbered(rows, ["day", "id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(day" not in ranges and "_range" in ranges

@@ -36,8 +36,14 @@ def nearest_rank(rows: DataFrame, key: str, value: str, share: float) -> DataFra
 
 
 def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
-    """`rows` with change ids c0, c1, ... in one global order, which only a plan of bounded size has."""
-    return rows.withColumn("change_id", F.concat(F.lit("c"), (F.row_number().over(Window.orderBy(*by)) - 1).cast("string")))
+    """`rows` with change ids c0, c1, ... in one global order: ranges are numbered apart, then moved by the counts of the ranges before."""
+    # Written once: the ranges must be the same when they are counted and when they are numbered.
+    ranged = rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    # One row a range: the only rows that meet in one task.
+    offsets = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*by)) - 1 + F.col("_before")
+    return ranged.join(F.broadcast(offsets), "_range").withColumn("change_id", F.concat(F.lit("c"), place.cast("string"))).select(*rows.columns, "change_id")
 
 
 def check_transitions(log: DataFrame, key: str, by: list[str], state: str, allowed: DataFrame) -> DataFrame:

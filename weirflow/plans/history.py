@@ -106,7 +106,7 @@ def plan_item_guard(t):
 
 @query("select o_orderkey, 'c' || (row_number() over (order by o_orderdate, o_orderkey) - 1) as change_id from orders where o_custkey < 100")
 def change_numbering(t):
-    return history.numbered(t.orders.where("o_custkey < 100"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "change_id")
+    return history.numbered(t.orders.where("o_custkey < 100").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "change_id")
 
 
 _STATES = "(values ('view', 'click'), ('view', 'view'), ('click', 'purchase'), ('signup', 'view'), ('error', 'view'), ('purchase', 'view')) as allowed(a, b)"
