@@ -125,6 +125,14 @@ def test_decontamination_of_repeated_and_small_vocabulary_items(spark, monkeypat
     assert whole and list(index.passages(decontaminate.tx.span_hashes(w.buf, w.starts, w.ends), w.off)) == whole
 
 
+def test_decontamination_of_repeated_and_null_item_ids(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(20)) for c in "abc"]
+    bench = spark.createDataFrame([(0, texts[0]), (0, texts[1]), (0, texts[1]), (None, texts[2])], "item_id long, text string")
+    docs = spark.createDataFrame([*enumerate(texts), (3, "none of them is here")], "doc_id long, text string")
+    assert sorted((r.doc_id, str(r.item_id)) for r in decontaminate.contaminated(docs, bench).collect()) == [(0, "0"), (1, "0"), (2, "None")]
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [3]
+
+
 def test_block_max_loses_nothing():
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(400)]

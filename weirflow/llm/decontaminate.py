@@ -65,8 +65,8 @@ def split_item(text: str) -> tuple[str, str]:
 class ItemIndex:
     """Parts of the items as block-max posting lists of impacts relative to the self score."""
 
-    def __init__(self, items: list[tuple[int, str, str]]):
-        same: dict[tuple, list[int]] = {}
+    def __init__(self, items: list[tuple[int | None, str, str]]):
+        same: dict[tuple, list[int | None]] = {}
         for i, q, a in items:
             same.setdefault((tuple(normal_words(q)), tuple(normal_words(a))), []).append(i)
         self.items = [(ids, list(q), list(a)) for (q, a), ids in same.items()]
@@ -200,19 +200,19 @@ class ItemIndex:
         return [best[k] for k in sorted(best)]
 
 
-def read_items(benchmark: DataFrame, text_col: str = "text") -> list[tuple[int, str, str]]:
-    """(item_id, question, answer) of the test items; null and empty ones are left out, repeated ids keep the first text."""
+def read_items(benchmark: DataFrame, text_col: str = "text") -> list[tuple[int | None, str, str]]:
+    """(item_id, question, answer) of the test items; null and empty texts are left out, every text of a repeated or null id is kept."""
     names = set(benchmark.columns)
     cols = ["question", "answer"] if {"question", "answer"} <= names else [text_col]
     size = benchmark.agg(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in cols))).first()[0] or 0
     if size > INDEX_BYTES:
         raise ValueError(f"{size} bytes of test items; the index is bounded to {INDEX_BYTES}")
-    out: dict[int, tuple[int, str, str]] = {}
-    for i, *text in sorted(map(tuple, benchmark.select("item_id", *cols).where("item_id is not null").collect()), key=lambda r: (r[0], [x or "" for x in r[1:]])):
+    out: dict[tuple, None] = {}
+    for i, *text in sorted(map(tuple, benchmark.select("item_id", *cols).collect()), key=lambda r: (r[0] is None, r[0] or 0, [x or "" for x in r[1:]])):
         q, a = (x or "" for x in text) if len(text) == 2 else split_item(text[0] or "")
         if normal_words(q + " " + a):
-            out.setdefault(i, (i, q, a))
-    return list(out.values())
+            out[i, q, a] = None
+    return list(out)
 
 
 _HIT = "doc_id long, item_id long, passage_start long, score double, question_overlap double, answer_overlap double"
