@@ -103,3 +103,30 @@ def test_block_max_is_exact():
         whole = sorted((float(sum(x * w[np.flatnonzero(t == k)[0]] for k, x in zip(e[2], e[3], strict=True) if k in t)) for e in examples), reverse=True)
         _, sim = index.nearest(t, w)
         assert np.allclose(sim, [s for s in whole[: toxicity.NEIGHBOURS] if s > 0], atol=1e-5)
+
+
+def _flat(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def test_quality_score_of_a_text_ignores_its_neighbours():
+    rng = random.Random(6)
+    weights = np.random.default_rng(6).normal(size=quality.SLOTS + 1)
+    texts = ["one two three four", "three x y", "four four", "", "a", "a a a", "two", "b a", "zzz!! zzz!!"]
+    texts += [" ".join(rng.choice(["a", "b", "c!", "DD"]) for _ in range(rng.randrange(6))) for _ in range(60)]
+    alone = {t: quality.score(weights, *_flat([t]))[0] for t in texts}
+    for _ in range(20):
+        rng.shuffle(texts)
+        together = quality.score(weights, *_flat(texts))
+        assert [alone[t] for t in texts] == together.tolist()
+        for t in texts[:5]:
+            slot, off = quality.slots(*_flat([t]))
+            assert len(slot) == off[-1] and (not t.split() or len(slot) > 0)
+
+
+def test_training_ignores_row_order_and_repeated_ids(spark):
+    docs, labels = frames(spark)
+    twice = docs.union(docs.where("doc_id < 20").withColumn("text", F.concat("text", F.lit(" later"))))
+    one = quality.fit(twice, labels)
+    assert np.array_equal(one, quality.fit(twice.repartition(7, "text"), labels.repartition(3)))

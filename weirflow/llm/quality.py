@@ -53,9 +53,10 @@ def slots(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Feature slots, tokens and then pairs interleaved, and row offsets."""
     h, off = tokens(buf, offsets)
     pair = tx.mix(h * tx.U64(0x9E3779B97F4A7C15) + np.append(h[1:], tx.U64(0)))
+    row = tx.rows_of(off)
     # A token right after itself, or every other, is one n-gram class whatever the token: repetition is what it shows.
     for lag, mark in ((2, 0xA0761D6478BD642F), (1, 0xE7037ED1A0B428DB)):
-        pair[:-lag][h[lag:] == h[:-lag]] = mark
+        pair[:-lag][(h[lag:] == h[:-lag]) & (row[lag:] == row[:-lag])] = mark
     last = off[1:][off[1:] > off[:-1]] - 1
     pair[last] = h[last] ^ tx.U64(0x5851F42D4C957F2D)
     both = np.empty(2 * len(h), np.int64)
@@ -90,28 +91,35 @@ def example(slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def score(weights: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     slot, off = slots(buf, offsets)
-    total = np.concatenate([[0.0], np.cumsum(weights[slot])])
     size = np.diff(off)
-    margin = SCALE * (total[off[1:]] - total[off[:-1]]) / np.maximum(size, 1) + weights[-1]
+    total = np.zeros(len(size))
+    full = np.flatnonzero(size)
+    # Each text is summed by itself, so that its score does not depend on its neighbours, not even by a rounding.
+    total[full] = np.add.reduceat(weights[slot], off[:-1][full]) if len(full) else 0.0
+    margin = SCALE * total / np.maximum(size, 1) + weights[-1]
     return 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the trained weights, from all (label, text) rows of the sample, whatever their order."""
+    found = []
     for batch in batches:
         label = batch.column(0).to_pylist()
-        out = []
         for a, b, buf, offsets in tx.text_parts(batch.column(1)):
             slot, off = slots(buf, offsets)
             for i in range(b - a):
                 at, x = example(slot[off[i] : off[i + 1]])
-                out.append({"label": label[a + i], "at": at.astype(np.int32).tobytes(), "x": x.tobytes()})
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("label", pa.int32()), ("at", pa.binary()), ("x", pa.binary())]))
+                found.append((at.astype(np.int32), x, label[a + i]))
+    found.sort(key=lambda e: (e[0].tobytes(), e[1].tobytes(), e[2]))
+    weights = train([(y, at, x) for at, x, y in found])
+    yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.tobytes()], pa.binary())})
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, allowed, rows: int, salt: int = 0) -> DataFrame:
     """(doc_id, label, text) of at most `rows` labelled documents, the first in order of a hash of the id.
 
-    Null ids and labels are left out; a document with contradicting labels takes the greater.
+    Null ids and labels are left out; a document with contradicting labels takes the greater, and of several texts of one id
+    the least counts.
     """
     some = (
         labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & allowed)
@@ -121,15 +129,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, allowed, ro
         .limit(rows)
     )
     # At most `rows` pairs of numbers: a proven bound for the broadcast.
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed=None, rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights; without a labelled row all are zero and every score is a half."""
+    """Weights; without a labelled row all are zero and every score is a half.
+
+    The sample, of at most `rows` rows, is trained on in one executor task, and only the weights come to the driver.
+    """
     allowed = F.lit(True) if allowed is None else allowed
-    found = labelled_sample(docs, labels, "quality", allowed, rows).select("label", "text").mapInArrow(_examples, "label int, at binary, x binary").toArrow()
-    rows_in = sorted(zip(found["at"].to_pylist(), found["x"].to_pylist(), found["label"].to_pylist(), strict=True))
-    return train([(y, np.frombuffer(at, np.int32), np.frombuffer(x)) for at, x, y in rows_in])
+    sample = labelled_sample(docs, labels, "quality", allowed, rows).select("label", "text")
+    found = sample.coalesce(1).mapInArrow(_train_rows, "weights binary").first()
+    return np.zeros(SLOTS + 1) if found is None else np.frombuffer(found[0])
 
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
