@@ -32,14 +32,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; where it is unset (tests, one machine) a temporary folder becomes it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    found = "file://" + tempfile.mkdtemp(prefix="weirflow-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    spark.sparkContext.setCheckpointDir(found)
-    return found
+    """`spark.checkpoint.dir`, or what `setCheckpointDir` was given; in local mode with neither, a temporary folder becomes it.
+
+    On a cluster a folder that all machines share must be named: a machine's own folder would lose tables.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("no shared folder: set spark.checkpoint.dir to one that driver and executors reach")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weirflow-"))
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -67,8 +71,17 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def buckets_for(df: DataFrame, bytes_each: int, least: int = 32, most: int = 1 << 16) -> int:
-    return int(min(most, max(least, plan_bytes(df) // bytes_each)))
+def buckets_for(df: DataFrame, bytes_each: int, least: int = 32) -> int:
+    """As many buckets as hold about `bytes_each` each, at any size of `df`; only the type of a bucket number bounds it."""
+    return int(min(1 << 30, max(least, plan_bytes(df) // bytes_each)))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, behind as many underscores as it takes to clash with no column of `df`."""
+    taken, mark = {c.lower() for c in df.columns}, "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
 
 
 def keep_possible(df: DataFrame, key: str, ids: DataFrame, id_col: str, max_bits: int = 1 << 26, negate: bool = False) -> DataFrame:
@@ -78,18 +91,18 @@ def keep_possible(df: DataFrame, key: str, ids: DataFrame, id_col: str, max_bits
     `ids`; beyond that it only lets more rows through.
     """
     n = ids.count()
-    bits = 1 << 10
-    while bits < min(max_bits, 16 * n):
-        bits *= 2
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    word = lambda c: F.floor(slot(c) / 64).cast("long")
+    size = 1 << 10
+    while size < min(max_bits, 16 * n):
+        size *= 2
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    place = lambda c: F.floor(slot(c) / 64).cast("long")
     bit = lambda c: F.pmod(slot(c), F.lit(64)).cast("int")
-    key_id = F.col(id_col)
+    word, bits = unused(df, "word", "bits")
     bitmap = (
-        ids.select(word(key_id).alias("_word"), F.expr("1L").alias("_one"), bit(key_id).alias("_bit"))
-        .groupBy("_word")
-        .agg(F.bit_or(F.call_function("shiftleft", F.col("_one"), F.col("_bit"))).alias("_bits"))
+        ids.select(place(F.col(id_col)).alias(word), F.expr("1L").alias("one"), bit(F.col(id_col)).alias("bit"))
+        .groupBy(word)
+        .agg(F.bit_or(F.call_function("shiftleft", F.col("one"), F.col("bit"))).alias(bits))
     )
-    flagged = df.withColumn("_word", word(F.col(key))).join(F.broadcast(bitmap), "_word", "left" if negate else "inner")
-    has = F.call_function("shiftrightunsigned", F.col("_bits"), bit(F.col(key))).bitwiseAND(F.lit(1).cast("long")) == 1
-    return flagged.where(~F.coalesce(has, F.lit(False)) if negate else has).select(*df.columns)
+    flagged = df.withColumn(word, place(F.col(key))).join(F.broadcast(bitmap), word, "left" if negate else "inner")
+    has = F.call_function("shiftrightunsigned", F.col(bits), bit(F.col(key))).bitwiseAND(F.lit(1).cast("long")) == 1
+    return flagged.where(~F.coalesce(has, F.lit(False)) if negate else has).drop(word, bits)
