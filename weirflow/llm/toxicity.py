@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are the lower-cased tokens and token prefixes of the training sample, all of them; those that tell its labels apart (a chi-square
-test) weigh `TELLING` times as much, because a few telling words drown in whole-text vectors. Document frequencies are counted over
+Terms are the lower-cased tokens of the training sample, all of them; those that tell its labels apart (a chi-square test) weigh
+`TELLING` times as much, because a few telling words drown in whole-text vectors. Document frequencies are counted over
 all documents. Labelled examples go into an inverted index: the posting lists of rare terms are summed whole, those of common terms
 are cut into blocks of examples with the greatest weight of each block. A text visits blocks in order of their upper bounds and
 stops at the first that cannot reach its k-th best, which loses nothing. Neighbours vote with the square of their cosine, and a
@@ -28,11 +28,9 @@ TRAIN_ROWS = 6000
 INDEX_SHARE = 0.75
 TERMS = 1024
 LEAST_CHI2 = 18.0
-TELLING = 16.0
+TELLING = 8.0
 #: Terms in more than one of so many examples are common.
 COMMON = 4
-#: Prefixes, in bytes, that are terms too: inflected forms share them.
-PREFIXES = (4, 6, 7)
 SLOT_BITS = 22
 SLOTS = 1 << SLOT_BITS
 NEIGHBOURS = 15
@@ -44,16 +42,10 @@ U64 = np.uint64
 
 
 def _lowered(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each lower-cased token and its longer prefixes (0 where it has none), and row offsets."""
+    """Hashes of the lower-cased tokens, and row offsets."""
     low = tx.lower_ascii(buf)
     starts, ends, off = token_spans(low, offsets)
-    out = np.zeros((len(starts), 1 + len(PREFIXES)), U64)
-    sums = tx.prefix_sums(low)
-    out[:, 0] = tx.span_hashes(low, starts, ends, sums)
-    for k, n in enumerate(PREFIXES, 1):
-        long = ends - starts > n
-        out[long, k] = tx.span_hashes(low, starts[long], starts[long] + n, sums) ^ U64(0x2545F4914F6CDD1D)
-    return out.ravel(), off * out.shape[1]
+    return tx.span_hashes(low, starts, ends), off
 
 
 def choose_terms(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
@@ -86,16 +78,31 @@ def choose_terms(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     return np.sort(term[good])
 
 
-def matches(h: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of `h` that hold terms, and which; a table of low bits sorts most of the others out."""
-    if not len(terms):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    maybe = np.zeros(SLOTS, bool)
-    maybe[(terms & U64(SLOTS - 1)).astype(np.int64)] = True
-    place = np.flatnonzero(maybe[(h & U64(SLOTS - 1)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(terms, h[place]), len(terms) - 1)
-    hit = terms[at] == h[place]
-    return place[hit], at[hit]
+class Terms:
+    """Sorted hashes of terms, with a table by their leading bits where each search begins."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.bits = max(1, min(SLOT_BITS, int(np.ceil(np.log2(len(hashes) + 1)))))
+        self.first = np.searchsorted(hashes, np.arange(1 << self.bits, dtype=U64) << U64(64 - self.bits)).astype(np.int32)
+        ends = np.append(self.first[1:], len(hashes))
+        self.steps = int((ends - self.first).max(initial=0))
+
+    def matches(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of `h` that hold terms, and which."""
+        n = len(self.hashes)
+        if not n or not len(h):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = self.first[(h >> U64(64 - self.bits)).astype(np.int64)]
+        open_ = np.arange(len(h))
+        for _ in range(self.steps):
+            here = at[open_]
+            open_ = open_[(here < n) & (self.hashes[np.minimum(here, n - 1)] < h[open_])]
+            if not len(open_):
+                break
+            at[open_] += 1
+        hit = np.flatnonzero((at < n) & (self.hashes[np.minimum(at, n - 1)] == h))
+        return hit, at[hit].astype(np.int64)
 
 
 def unit(t: np.ndarray, tf: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,16 +111,18 @@ def unit(t: np.ndarray, tf: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray,
     return t, (w / norm if norm > 0 else w)
 
 
-def vectors(h: np.ndarray, off: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def vectors(h: np.ndarray, off: np.ndarray, terms: Terms, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(term numbers, unit-length weights) of each row."""
-    place, found = matches(h, terms)
-    cut = np.searchsorted(place, off)
-    none = np.zeros(0, np.int64), np.zeros(0)
-    for i in range(len(off) - 1):
-        if cut[i] == cut[i + 1]:
-            yield none
-            continue
-        yield unit(*np.unique(found[cut[i] : cut[i + 1]], return_counts=True), weight)
+    place, found = terms.matches(h)
+    many = len(weight) + 1
+    key, tf = np.unique((np.searchsorted(off, place, "right") - 1) * many + found, return_counts=True)
+    cut = np.searchsorted(key, np.arange(len(off)) * many)
+    found = key % many
+    w = (1 + np.log(tf)) * weight[found]
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        part = w[a:b]
+        norm = np.sqrt(part @ part)
+        yield found[a:b], (part / norm if norm > 0 else part)
 
 
 class Index:
@@ -192,6 +201,7 @@ def calibrate(vote: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 class Model:
     def __init__(self, terms, weight, index, prior, curve):
         self.terms, self.weight, self.index, self.prior, self.curve = terms, weight, index, prior, curve
+        self.lookup = Terms(terms)
         self._known: dict[bytes, tuple[float, str]] = {}
 
     def rate(self, t: np.ndarray, w: np.ndarray) -> tuple[float, str]:
@@ -218,7 +228,7 @@ def build(ids: list[int], label: np.ndarray, bags: list[tuple[np.ndarray, np.nda
 
 
 def _packed(h: np.ndarray) -> bytes:
-    values, count = np.unique(h[h != 0], return_counts=True)
+    values, count = np.unique(h, return_counts=True)
     return values.tobytes() + np.minimum(count, 65535).astype(np.uint16).tobytes()
 
 
@@ -240,16 +250,16 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        df, n = np.zeros(len(wanted), np.int64), 0
+        wanted = Terms(shared.value)
+        df, n = np.zeros(len(wanted.hashes), np.int64), 0
         for batch in batches:
             for a, b, buf, offsets in tx.text_parts(batch.column(0)):
                 h, off = _lowered(buf, offsets)
                 n += b - a
-                if len(wanted):
-                    hit, at = matches(h, wanted)
-                    pairs = np.unique((np.searchsorted(off, hit, "right") - 1) * len(wanted) + at)
-                    df += np.bincount(pairs % len(wanted), minlength=len(wanted))
+                if len(df):
+                    hit, at = wanted.matches(h)
+                    pairs = np.unique((np.searchsorted(off, hit, "right") - 1) * len(df) + at)
+                    np.add.at(df, pairs % len(df), 1)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"term": np.append(-1, some), "n": np.append(n, df[some])})
 
@@ -283,7 +293,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            got = [m.rate(t, w) for _, _, buf, offsets in tx.text_parts(batch.column("text")) for t, w in vectors(*_lowered(buf, offsets), m.terms, m.weight)]
+            got = [m.rate(t, w) for _, _, buf, offsets in tx.text_parts(batch.column("text")) for t, w in vectors(*_lowered(buf, offsets), m.lookup, m.weight)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.string())], names=[*batch.schema.names, "toxic_score", "toxic_evidence"])
 
     return docs.mapInArrow(run, schema)
