@@ -9,11 +9,11 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions import text as tf
-from weirflow.operators import kernels, security
+from weirflow.operators import history, security, sweep
 from weirflow.operators.tokens import Token, closing, tokenize
 
 TIERS = {"safe": 0, "suggested": 1, "risky": 2}
@@ -131,10 +131,25 @@ def _alias(item: list[Token]) -> tuple[Token, Token | None] | None:
     return None
 
 
+def _named(toks: list[Token], name: str, skip: range) -> bool:
+    """Whether a token outside `skip` names it: a word, a quoted identifier, or a word inside a template."""
+    wanted = name.lower()
+    for i, t in enumerate(toks):
+        if i in skip:
+            continue
+        if t.kind == "quoted" and t.value[1:-1].lower() == wanted:
+            return True
+        if t.kind == "word" and t.value.lower() == wanted:
+            return True
+        if t.kind == "template" and wanted in (w.lower() for w in re.findall(r"[^\W\d]\w*", t.value)):
+            return True
+    return False
+
+
 def dead_ctes(text: str, toks: list[Token], schemas: dict[str, list[str]]) -> Iterator[Edit]:
     at, found = ctes(toks)
     for n, c in enumerate(found):
-        if _uses(toks, c.name, range(c.first, c.close + 1)) or SIDE_EFFECTS.search(text[toks[c.open].start : toks[c.close].end]):
+        if _named(toks, c.name, range(c.first, c.close + 1)) or SIDE_EFFECTS.search(text[toks[c.open].start : toks[c.close].end]):
             continue
         if len(found) == 1:
             span = toks[at].start, toks[c.close].end
@@ -284,13 +299,8 @@ def candidates(stages: DataFrame, rule_ids: list[str] | None = None, most_tier:
 
 
 def disjoint(found: DataFrame) -> DataFrame:
-    """Candidates without overlaps in a file: in order of start, length and rule the first wins. A group is one file."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_n=pdf["end"] - pdf["start"]).sort_values(["start", "_n", "rule_id"]).drop(columns="_n")
-        return pdf.iloc[kernels.first_disjoint(list(zip(pdf["start"], pdf["end"], strict=True)))]
-
-    return found.groupBy("path").applyInPandas(pick, found.schema)
+    """Candidates without overlaps in a file: in order of start, length and rule the first wins."""
+    return sweep.disjoint(found, ("path",), ["start", F.col("end") - F.col("start"), "rule_id"])
 
 
 def overlay(found: DataFrame, findings: DataFrame, allow: bool = False) -> DataFrame:
@@ -303,10 +313,10 @@ def overlay(found: DataFrame, findings: DataFrame, allow: bool = False) -> DataF
 
 
 def plan(found: DataFrame) -> DataFrame:
-    """Numbered plan items, c0, c1, ... in order of path, start and rule, with their hashes. A plan is one ordered list."""
-    number = F.row_number().over(Window.orderBy("path", "start", "rule_id")) - 1
+    """Numbered plan items, c0, c1, ... in order of path, start and rule, with their hashes; no task sees all of them."""
     body = tf.canonical_json([F.col(c) for c in ("after", "before", "end", "path", "reason", "rule_id", "stage", "start", "tier")])
-    return found.withColumns({"ordinal": number, "change_id": F.concat(F.lit("c"), number.cast("string")), "item_hash": tf.sha256_hex(body), "rule_version": F.lit(1)})
+    placed = history.numbered(found, ["path", "start", "rule_id"]).withColumn("ordinal", F.substring("change_id", 2, 20).cast("int"))
+    return placed.withColumns({"item_hash": tf.sha256_hex(body), "rule_version": F.lit(1)})
 
 
 def plan_hash(items: DataFrame, root: str, pipeline_fingerprint: str, most_tier: str) -> DataFrame:
@@ -329,7 +339,6 @@ def apply(files: DataFrame, items: DataFrame) -> DataFrame:
 
 
 
-
 def file_diffs(applied: DataFrame) -> DataFrame:
     """(path, status, diff) of `apply`'s rows: what a dry run shows; unchanged and stale files have an empty diff."""
 

@@ -1,13 +1,14 @@
-"""Security scan: rules as regular-expression flat maps, interval dedupe, suppressions, redaction, gate."""
+"""Security scan: rules as arrays of matches found in one pass over the files, interval dedupe, suppressions, redaction, gate."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions import text as tf
-from weirflow.operators import kernels
+from weirflow.operators import kernels, sweep
 
 MOST_FINDINGS = 500
 #: Entropy, in bits a character, and length from which a value assigned to a key is a secret.
@@ -31,6 +32,13 @@ _PLAINTEXT = (
     r"(?i)\bCREATE\s+(?:USER|ROLE|LOGIN)\b[^;]*\bIDENTIFIED\s+BY\s+['\"][^'\"]+['\"]",
     r"(?i)\bGRANT\b[^;]*\bIDENTIFIED\s+BY\s+['\"][^'\"]+['\"]",
 )
+# String literals, and the signs of a query put together from strings.
+_LITERAL = r"f?[\"'](?:\\.|[^\"'\\])*[\"']"
+_F_STRING = r"\bf[\"']"
+_PUT_TOGETHER = r"\.format\s*\(|\+|%\s*[srdx]"
+# How a rule is switched off, and for how many characters an argument list without an end is read.
+_OFF = r"(?:--|#)\s*{}:off(-all)?(\s+[\w,\- ]+)?"
+_OPEN_ARGUMENTS = 300
 HINTS = {
     "SEC-001": "hardcoded secret; read it from the environment or a secret manager",
     "SEC-002": "SQL built from strings; pass parameters instead",
@@ -40,95 +48,106 @@ HINTS = {
 }
 
 
-def occurrences(files: DataFrame, pattern: str, text: str = "content") -> DataFrame:
-    """`files` with (start, end, found) of each match, offsets in code points: gaps and matches add up to the text."""
+_MATCH = "array<struct<severity:string,start:int,end:int,found:string>>"
+
+
+def occurrences(text: Column, pattern: str, severity: str) -> Column:
+    """array<struct<severity, start, end, found>> of the matches, offsets in code points: gaps and matches add up to the text."""
+    none = F.array().cast(_MATCH)
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
     zipped = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))
+    span = lambda acc, x: F.struct(F.lit(severity).alias("severity"), (acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["h"])).alias("end"), x["h"].alias("found"))
     placed = F.aggregate(
         zipped,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["g"] + F.length(x["h"])).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["h"])).alias("end"), x["h"].alias("found"))).alias("out")),
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda acc, x: F.struct((acc["at"] + x["g"] + F.length(x["h"])).alias("at"), F.array_append(acc["out"], span(acc, x)).alias("out")),
         lambda acc: acc["out"],
     )
-    return files.where(F.col(text).rlike(pattern)).withColumn("_m", F.explode(placed)).select(*files.columns, "_m.start", "_m.end", "_m.found")
+    return F.when(text.rlike(pattern), placed).otherwise(none)
 
 
-def _hits(files: DataFrame, rule: str, severity: str, patterns: tuple[str, ...]) -> DataFrame:
-    out = None
-    for p in patterns:
-        one = occurrences(files, p).withColumns({"rule_id": F.lit(rule), "severity": F.lit(severity)})
-        out = one if out is None else out.unionByName(one)
-    return out
+def _any(severity: str, *patterns: str) -> Callable[[Column], Column]:
+    return lambda text: F.concat(*(occurrences(text, p, severity) for p in patterns))
 
 
-def secrets(files: DataFrame) -> DataFrame:
+def _secrets(text: Column) -> Column:
     """SEC-001: known prefixes are critical, long values of high entropy assigned to a key are high."""
-    known = _hits(files, "SEC-001", "critical", (tf.SECRET_PREFIX,))
-    value = F.regexp_extract("found", _ASSIGNED, 1)
-    return known.unionByName(_hits(files, "SEC-001", "high", (_ASSIGNED,)).where(tf.entropy(value) >= SECRET_ENTROPY))
+    assigned = F.filter(occurrences(text, _ASSIGNED, "high"), lambda m: tf.entropy(F.regexp_extract(m["found"], _ASSIGNED, 1)) >= SECRET_ENTROPY)
+    return F.concat(occurrences(text, tf.SECRET_PREFIX, "critical"), assigned)
 
 
-def interpolated_sql(files: DataFrame) -> DataFrame:
+def _interpolated(text: Column) -> Column:
     """SEC-002: a query call whose arguments, up to the first `)`, hold an f-string, .format, + or a % conversion."""
-    calls = occurrences(files, _SQL_CALL)
-    rest = F.substring(F.col("content"), F.col("end") + 1, F.length("content"))
-    close = F.instr(rest, ")")
-    args = F.when(close > 0, F.substring(rest, F.lit(1), close - 1)).otherwise(F.substring(rest, 1, 300))
-    bare = F.regexp_replace(args, r"f?[\"'](?:\\.|[^\"'\\])*[\"']", '""')
-    unsafe = args.rlike(r"\bf[\"']") | bare.rlike(r"\.format\s*\(|\+|%\s*[srdx]")
-    return calls.where(unsafe).withColumn("end", (F.col("end") + F.length(args)).cast("int")).withColumns({"rule_id": F.lit("SEC-002"), "severity": F.lit("high")})
-
-
-#: Rule id to (scan, SQL files only), in order.
-RULES = {
-    "SEC-001": (secrets, False),
-    "SEC-002": (interpolated_sql, False),
-    "SEC-003": (lambda f: _hits(f, "SEC-003", "high", _SHELL), False),
-    "SEC-004": (lambda f: _hits(f, "SEC-004", "medium", _CONNECTION), False),
-    "SEC-005": (lambda f: _hits(f, "SEC-005", "medium", _PLAINTEXT), True),
+
+    def arguments(m: Column) -> Column:
+        rest = F.substring(text, m["end"] + 1, F.length(text))
+        close = F.instr(rest, ")")
+        return F.when(close > 0, F.substring(rest, F.lit(1), close - 1)).otherwise(F.substring(rest, 1, _OPEN_ARGUMENTS))
+
+    unsafe = lambda m: arguments(m).rlike(_F_STRING) | F.regexp_replace(arguments(m), _LITERAL, '""').rlike(_PUT_TOGETHER)
+    grown = lambda m: F.struct(m["severity"].alias("severity"), m["start"].alias("start"), (m["end"] + F.length(arguments(m))).cast("int").alias("end"), m["found"].alias("found"))
+    return F.transform(F.filter(occurrences(text, _SQL_CALL, "high"), unsafe), grown)
+
+
+#: Rule id to (matches of a text, SQL files only), in order.
+RULES: dict[str, tuple[Callable[[Column], Column], bool]] = {
+    "SEC-001": (_secrets, False),
+    "SEC-002": (_interpolated, False),
+    "SEC-003": (_any("high", *_SHELL), False),
+    "SEC-004": (_any("medium", *_CONNECTION), False),
+    "SEC-005": (_any("medium", *_PLAINTEXT), True),
 }
 
 
-def matches(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
-    """Raw matches of the enabled rules over (path, ext, content); a disabled rule costs nothing."""
-    unknown = set(rules or []) - set(RULES)
+def matches(files: DataFrame, rules: list[str] | None = None, catalog: dict | None = None) -> DataFrame:
+    """Raw matches of the enabled rules over (path, ext, content), all found in one pass; a disabled rule costs nothing.
+
+    `catalog` adds or replaces rules of a pack: rule id to (content column -> array of matches, SQL files only).
+    """
+    catalog = RULES | (catalog or {})
+    unknown = set(rules or []) - set(catalog)
     if unknown:
         raise ValueError(f"unknown rules: {sorted(unknown)}")
-    out = None
-    for name, (scan, sql_only) in RULES.items():
-        if rules and name not in rules:
-            continue
-        one = scan(files.where("ext = 'sql'") if sql_only else files)
-        out = one if out is None else out.unionByName(one)
-    return out
+    text = F.col("content")
+    none = F.array().cast(_MATCH.replace("severity", "rule_id:string,severity"))
 
+    def of(name: str) -> Column:
+        scan_text, sql_only = catalog[name]
+        one = F.transform(scan_text(text), lambda m: F.struct(F.lit(name).alias("rule_id"), *(m[c].alias(c) for c in ("severity", "start", "end", "found"))))
+        return F.when(F.col("ext") == "sql", one).otherwise(none) if sql_only else one
 
-def dedupe(found: DataFrame, keys: tuple[str, ...] = ("path", "rule_id")) -> DataFrame:
-    """Overlapping spans of a file and rule: earlier or as severe ones win. A group is one file's matches of one rule."""
+    found = [of(name) for name in catalog if not rules or name in rules]
+    return files.withColumn("m", F.explode(F.concat(*found))).select(*(F.col(c) for c in files.columns), "m.rule_id", "m.severity", "m.start", "m.end", "m.found")
+
+
+def secrets(files: DataFrame) -> DataFrame:
+    return matches(files, ["SEC-001"])
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[kernels.dedupe_findings(list(zip(pdf["start"], pdf["end"], pdf["severity"], strict=True)))]
 
-    return found.groupBy(*keys).applyInPandas(pick, found.schema)
+def dedupe(found: DataFrame, keys: tuple[str, ...] = ("path", "rule_id")) -> DataFrame:
+    """Overlapping spans of a file and rule: earlier or as severe ones win, a more severe one takes the place of what it overlaps."""
+    return sweep.disjoint(found, keys, ["start", "end"], rank())
+
 
+def suppressed(directive: str = DIRECTIVE) -> Column:
+    """Whether the line of a match (content, start, rule_id) switches its rule off, or its file switches off all."""
+    shape = _OFF.format(directive)
+    line = tf.line_text("content", "start")
+    ids = F.split(F.trim(F.regexp_extract(line, shape, 2)), r"[\s,]+")
+    whole = _OFF.format(directive).replace("(-all)?", "-all")
+    return F.when(F.instr("content", f"{directive}:off") > 0, F.array_contains(ids, F.col("rule_id")) | F.col("content").rlike(whole)).otherwise(False)
 
-def suppressions(files: DataFrame, directive: str = DIRECTIVE) -> tuple[DataFrame, DataFrame]:
-    """((path, line, rule_id), (path)): rules switched off on a line, and files switched off whole."""
-    shape = rf"(?:--|#)\s*{directive}:off(-all)?(\s+[\w,\- ]+)?"
-    lines = files.where(F.col("content").contains(f"{directive}:off")).select("path", F.posexplode(F.split("content", "\r\n|\r|\n")).alias("n", "text")).where(F.col("text").rlike(shape))
-    ids = lines.select("path", (F.col("n") + 1).alias("line"), F.explode(F.split(F.trim(F.regexp_extract("text", shape, 2)), r"[\s,]+")).alias("rule_id")).where("rule_id <> ''").distinct()
-    return ids, lines.where(F.regexp_extract("text", shape, 1) != "").select("path").distinct()
 
+def scan(files: DataFrame, rules: list[str] | None = None, directive: str = DIRECTIVE, catalog: dict | None = None) -> DataFrame:
+    """Findings of (path, ext, content): deduped, with line and column, redacted snippet, hint and status.
 
-def scan(files: DataFrame, rules: list[str] | None = None, directive: str = DIRECTIVE) -> DataFrame:
-    """Findings of (path, ext, content): deduped, with line and column, redacted snippet, hint and status."""
-    found = matches(files, rules)
-    found = found.withColumns({"line": tf.line_of("content", "start").cast("int"), "col": tf.column_of("content", "start").cast("int"), "snippet_redacted": tf.redact(tf.line_text("content", "start"))}).select("path", "rule_id", "severity", "start", "end", "line", "col", "snippet_redacted")
-    by_line, whole = suppressions(files, directive)
-    kept = dedupe(found).join(by_line.withColumn("_off", F.lit(True)), ["path", "line", "rule_id"], "left").join(whole.withColumn("_all", F.lit(True)), "path", "left")
-    status = F.when(F.coalesce("_off", "_all", F.lit(False)), "suppressed").otherwise("open")
+    Everything that needs the text is worked out beside it, so texts are read once and only matches are shuffled.
+    """
+    status = F.when(suppressed(directive), "suppressed").otherwise("open")
+    found = matches(files, rules, catalog).withColumns({"line": tf.line_of("content", "start").cast("int"), "col": tf.column_of("content", "start").cast("int"), "snippet_redacted": tf.redact(tf.line_text("content", "start")), "status": status})
+    kept = dedupe(found.select("path", "rule_id", "severity", "start", "end", "line", "col", "snippet_redacted", "status"))
     hint = F.element_at(F.create_map(*(F.lit(x) for kv in HINTS.items() for x in kv)), F.col("rule_id"))
-    return kept.select("rule_id", "severity", "path", "line", "col", F.struct("start", "end").alias("span"), "snippet_redacted", hint.alias("hint"), status.alias("status"))
+    return kept.select("rule_id", "severity", "path", "line", "col", F.struct("start", "end").alias("span"), "snippet_redacted", hint.alias("hint"), "status")
 
 
 def rank(severity: str = "severity"):
@@ -152,5 +171,12 @@ def histogram(findings: DataFrame) -> DataFrame:
     return findings.agg(*(F.count_if(open_ & (F.col("severity") == s)).alias(s) for s in kernels.SEVERITY), F.count_if(~open_).alias("suppressed"))
 
 
+def open_by_rule(findings: DataFrame, run: str = "run") -> DataFrame:
+    """(severity, rule_id, n) of the open findings of the latest run, the most severe and then the most frequent first."""
+    latest = findings.agg(F.max(run).alias(run))  # one row
+    counted = findings.join(F.broadcast(latest), run).where("status = 'open'").groupBy("severity", "rule_id").agg(F.count("*").alias("n"))
+    return counted.orderBy(rank().desc(), F.col("n").desc(), "rule_id")
+
+
 def new_since(now: DataFrame, baseline: DataFrame, keys: tuple[str, ...] = ("rule_id", "path", "line", "col")) -> DataFrame:
     return now.where("status = 'open'").join(baseline.where("status = 'open'"), list(keys), "left_anti")
