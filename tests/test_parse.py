@@ -58,3 +58,31 @@ def test_fingerprint_ignores_layout(spark):
     assert a.fingerprint == b.fingerprint != c.fingerprint
     assert [x.name for x in a.refs] == ["raw_orders"]
     assert parse.stages(files(spark, m="CREATE OR REPLACE MATERIALIZED VIEW s.mv_name AS SELECT id FROM x")).first().name == "mv_name"
+
+
+def test_calls_hidden_in_strings_and_comments(spark):
+    f = files(
+        spark,
+        a="select '--' as a, x from {{ ref('Orders') }}",
+        b="select 'ref(\"q\")' as a from t",
+        c="-- ref('no')\nselect /* source('a', 'b') */ 1 from {{ source( 'Raw' , /* ) */ \"Items\" ) }} -- {{ ref('z') }}",
+        d="select ref(pkg, 'Two', 'three') from {{ ref('two') }} join my_ref('x') on true",
+        e="select '{{ var(1) }}' as a from {{ ref ('five', v=2) }}",
+    )
+    assert {(r.path, r.name) for r in parse.refs(f).collect()} == {("a.sql", "orders"), ("d.sql", "two"), ("e.sql", "five")}
+    assert [(r.path, r.source, r.table) for r in parse.sources(f).collect()] == [("c.sql", "raw", "items")]
+    hints = {r.path: r.h for r in f.select("path", parse.template_hint("raw").alias("h")).collect()}
+    assert not any(hints.values())
+    made = f.where("path = 'a.sql'").select(parse.create_name(parse.F.lit("select 'create table no' as x; create view Dw.\"Yes\" as select 1")).alias("n")).first().n
+    assert made == "yes"
+
+
+def test_ctes_and_fingerprints(spark):
+    raw = "WITH a AS (SELECT 1 AS x), \"B\" AS NOT MATERIALIZED (WITH inner_one AS (SELECT f(2), 3 AS y) SELECT y FROM inner_one), c (SELECT 1) SELECT x, g(1), h FROM a, b WHERE z IN (SELECT 1)"
+    f = files(spark, m=raw, plain="SELECT x, g(1), h FROM a, b", again=raw.replace(" ", "\n"))
+    assert [r.name for r in parse.ctes(f).where("path = 'm.sql'").orderBy("ordinal").collect()] == ["a", "inner_one", "b"]
+    got = {r.path: r for r in parse.stages(f.where("path <> 'again.sql'").union(f.where("path = 'again.sql'").withColumn("path", parse.F.lit("dir/m.sql")))).collect()}
+    assert got["m.sql"].fingerprint == got["dir/m.sql"].fingerprint != got["plain.sql"].fingerprint
+    assert [c.name for c in got["m.sql"].ctes] == ["a", "inner_one", "b"] and got["plain.sql"].ctes == []
+    whole = parse.pipeline_fingerprint(parse.stages(f)).first().fingerprint
+    assert whole == parse.pipeline_fingerprint(parse.stages(f.repartition(3))).first().fingerprint and whole.startswith("sha256:")

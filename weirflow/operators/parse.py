@@ -13,7 +13,11 @@ CLAUSE_END = "FROM WHERE GROUP HAVING ORDER LIMIT OFFSET UNION INTERSECT EXCEPT
 #: Before a parenthesis these make its inside a place for FROM names.
 GROUP_LEADS = "FROM JOIN AS INNER LEFT RIGHT FULL CROSS OUTER ON USING".split()
 NOT_TABLES = ["select", "values", "dual"]
-_ARGUMENT = r"""(?:'([^']*)'|"([^"]*)")"""
+# Pieces of SQL text that hide what is in them: comments, then strings and quoted identifiers.
+_COMMENT = r"--[^\n]*+|/\*(?s:.*?)\*/"
+_STRING = r"'[^'\n]*+(?:''[^'\n]*+)*+'"
+_NAME = r'"[^"\n]*+"|`[^`\n]*+`'
+_GAP = rf"(?:\s|{_COMMENT})*+"
 
 
 def _projection(sig: DataFrame, key: str) -> DataFrame:
@@ -54,36 +58,74 @@ def projection_columns(files: DataFrame, key: str = "path", text: str = "raw") -
     return joined.withColumn("source_expr", F.substring(F.col(text), F.col("_s").cast("int") + 1, (F.col("_e") - F.col("_s")).cast("int"))).select(key, "ordinal", "name", "source_expr", "alias", "byte_start", "byte_end", "star")
 
 
-def without_comments(text):
-    return F.regexp_replace(tf.col(text), r"--[^\n]*|/\*(?s:.*?)\*/", " ")
+def _bare(text):
+    """The text without comments and string literals; quoted identifiers stay."""
+    return F.regexp_replace(tf.col(text), rf"({_NAME})|{_STRING}|{_COMMENT}", "$1 ")
 
 
 def create_name(text):
     """The last part of the name in CREATE [OR REPLACE] [TEMP] [MATERIALIZED] TABLE|VIEW, lower-cased; null without one."""
-    made = F.regexp_extract(without_comments(text), r"(?i)\bCREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?(?:MATERIALIZED\s+)?(?:TABLE|VIEW)\s+((?:[\w\"`]+\s*\.\s*)*[\w\"`]+)", 1)
+    made = F.regexp_extract(_bare(text), r"(?i)\bCREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?(?:MATERIALIZED\s+)?(?:TABLE|VIEW)\s+((?:[\w\"`]+\s*\.\s*)*[\w\"`]+)", 1)
     return F.when(made != "", F.lower(tf.unquote(F.trim(F.element_at(F.split(made, r"\."), -1)))))
 
 
-def _calls(name: str, text, groups: str):
-    return F.regexp_extract_all(without_comments(text), F.lit(rf"(?i)\b{name}\s*\(\s*{groups}"), 0)
+def _calls(name: str, text):
+    """array<array<string>>: the quoted arguments, lower-cased, of each call of `name`, in order.
+
+    Comments, strings and quoted identifiers are passed over whole, so what only looks like a call inside them is none; a call
+    inside the arguments of another is one too.
+    """
+    inside = rf"((?:[^)'\"`\-/]++|{_STRING}|{_NAME}|{_COMMENT}|[-/])*+\))"
+    found = F.regexp_extract_all(text, F.lit(rf"(?i){_COMMENT}|{_STRING}|{_NAME}|(?<![\p{{L}}\p{{N}}_]){name}{_GAP}\((?={inside})"), 1)
+    arguments = lambda c: F.transform(F.regexp_extract_all(F.regexp_replace(c, rf"({_STRING}|{_NAME})|{_COMMENT}", "$1 "), F.lit(rf"{_STRING}|{_NAME}"), 0), lambda a: F.lower(tf.unquote(a)))
+    return F.transform(F.filter(found, lambda c: c != ""), arguments)
 
 
 def refs(files: DataFrame, key: str = "path", text: str = "raw") -> DataFrame:
-    """(key, ordinal, name, kind) of ref() calls anywhere in a file, each name once, in order."""
-    each = files.select(key, F.posexplode(_calls("ref", text, _ARGUMENT)).alias("pos", "call"))
-    name = F.lower(F.regexp_extract("call", r"['\"]([^'\"]*)['\"]$", 1))
-    first = each.select(key, name.alias("name"), "pos").groupBy(key, "name").agg(F.min("pos").alias("pos"))
+    """(key, ordinal, name, kind) of ref() calls anywhere in a file, by their first argument, each name once, in order."""
+    each = files.select(key, F.posexplode(_calls("ref", F.col(text))).alias("pos", "args")).where(F.size("args") > 0)
+    first = each.select(key, F.element_at("args", 1).alias("name"), "pos").groupBy(key, "name").agg(F.min("pos").alias("pos"))
     return first.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1).alias("ordinal"), "name", F.lit("ref").alias("kind"))
 
 
 def sources(files: DataFrame, key: str = "path", text: str = "raw") -> DataFrame:
-    """(key, ordinal, source, table) of source() calls with two arguments, each pair once, in order."""
-    each = files.select(key, F.posexplode(_calls("source", text, _ARGUMENT + r"\s*,\s*" + _ARGUMENT)).alias("pos", "call"))
-    part = lambda i: F.lower(F.regexp_extract("call", r"\(\s*['\"]([^'\"]*)['\"]\s*,\s*['\"]([^'\"]*)['\"]$", i))
-    first = each.select(key, part(1).alias("source"), part(2).alias("table"), "pos").groupBy(key, "source", "table").agg(F.min("pos").alias("pos"))
+    """(key, ordinal, source, table) of source() calls with two or more arguments, each pair once, in order."""
+    each = files.select(key, F.posexplode(_calls("source", F.col(text))).alias("pos", "args")).where(F.size("args") > 1)
+    pairs = each.select(key, F.element_at("args", 1).alias("source"), F.element_at("args", 2).alias("table"), "pos")
+    first = pairs.groupBy(key, "source", "table").agg(F.min("pos").alias("pos"))
     return first.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1).alias("ordinal"), "source", "table")
 
 
+def ctes(files: DataFrame, key: str = "path", text: str = "raw") -> DataFrame:
+    """(key, ordinal, name) of the main query's CTEs, and of those in their bodies, which come before their owner.
+
+    A definition is a name after the leading WITH [RECURSIVE] (at depth 0 or right at the start of a body), or after a comma
+    that follows another definition, and has AS [NOT] [MATERIALIZED] and a body in parentheses.
+    """
+    sig = lex.significant(lex.tokens(files, key, text), key)
+    w = Window.partitionBy(key).orderBy("idx")
+    word = lambda n: F.when(F.lead("kind", n).over(w) == "WORD", F.upper(F.lead("value", n).over(w))) if n else F.upper("value")
+    back = lambda n: F.coalesce(F.upper(F.lag("value", n).over(w)), F.lit(""))
+    at = lambda n: F.coalesce(F.lead("value", n).over(w), F.lit(""))
+    seen = sig.withColumns({"b1": back(1), "b2": back(2), "b3": back(3), "a1": at(1), "a2": at(2), "a3": at(3), "a4": at(4), "w1": word(1), "w2": word(2), "w3": word(3)})
+    # How many tokens after the name its opening parenthesis is.
+    opens = (
+        F.when(F.col("a1") == "(", 1)
+        .when((F.col("w1") == "AS") & (F.col("a2") == "("), 2)
+        .when((F.col("w1") == "AS") & (F.col("w2") == "MATERIALIZED") & (F.col("a3") == "("), 3)
+        .when((F.col("w1") == "AS") & (F.col("w2") == "NOT") & (F.col("w3") == "MATERIALIZED") & (F.col("a4") == "("), 4)
+    )
+    lead = (F.col("b1") == "WITH") & ((F.col("depth") == 0) | (F.col("b2") == "("))
+    lead = lead | ((F.col("b1") == "RECURSIVE") & (F.col("b2") == "WITH") & ((F.col("depth") == 0) | (F.col("b3") == "(")))
+    follows = (F.col("b1") == ",") & (F.col("b2") == ")") & (F.col("w1") == "AS")
+    found = seen.where(F.col("kind").isin("WORD", "QUOTED_IDENT") & ~F.col("inside") & (lead | follows) & opens.isNotNull())
+    closers = sig.where("value = ')'").select(F.col(key).alias("k2"), F.col("depth").alias("d2"), F.col("idx").alias("i2"))
+    ended = found.join(closers, (F.col(key) == F.col("k2")) & (F.col("depth") == F.col("d2")) & (F.col("i2") > F.col("idx")), "left")
+    placed = ended.groupBy(key, "idx", "value").agg(F.coalesce(F.min("i2"), F.lit(1 << 30)).alias("close"))
+    order = Window.partitionBy(key).orderBy("close", F.col("idx").desc())
+    return placed.select(key, (F.row_number().over(order) - 1).alias("ordinal"), F.lower(tf.unquote("value")).alias("name"))
+
+
 def bare_refs(files: DataFrame, key: str = "path", text: str = "raw") -> DataFrame:
     """(key, ordinal, name, kind) of the names right after FROM, in files without a ref() call.
 
@@ -107,7 +149,7 @@ def bare_refs(files: DataFrame, key: str = "path", text: str = "raw") -> DataFra
 
 def template_hint(text):
     """Whether a {{ }} or {% %} region calls something other than ref, source or config, or holds a control word."""
-    regions = F.regexp_extract_all(without_comments(text), F.lit(r"\{\{(?s:.*?)\}\}|\{%(?s:.*?)%\}"), 0)
+    regions = F.regexp_extract_all(_bare(text), F.lit(r"\{\{(?s:.*?)\}\}|\{%(?s:.*?)%\}"), 0)
     odd = lambda r: F.size(F.filter(F.regexp_extract_all(r, F.lit(r"([A-Za-z_]\w*)\s*\("), 1), lambda c: ~F.lower(c).isin("ref", "source", "config"))) > 0
     control = lambda r: r.rlike(r"(?i)\{%-?\s*(?:if|for|macro|set|endif|endfor|else|elif|endmacro|call|block)\b")
     return F.exists(regions, lambda r: odd(r) | control(r))
@@ -126,24 +168,36 @@ def diagnostics(files: DataFrame, key: str = "path", text: str = "raw") -> DataF
 
 
 def stages(files: DataFrame, schema_name: str = "weirflow.stage.v1", key: str = "path", text: str = "raw") -> DataFrame:
-    """One row per file: path, name, columns, refs, sources, create_name, fingerprint.
+    """One row per file: path, name, columns, refs, sources, ctes, create_name, dialect_hints, fingerprint.
 
-    The fingerprint is the SHA-256 of the canonical JSON without positions and paths; it stays when only layout changes.
+    The fingerprint is the SHA-256 of the canonical JSON without positions, paths and hints; it stays when only layout changes.
     """
     listed = lambda df, *fields: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ordinal", *fields))).alias("x"))
     cols = listed(projection_columns(files, key, text).where("name is not null"), "alias", "name", "source_expr").select(key, F.transform("x", lambda c: F.struct(c["alias"].alias("alias"), c["name"].alias("name"), c["source_expr"].alias("source_expr"))).alias("columns"))
     found = refs(files, key, text).unionByName(bare_refs(files, key, text))
     refs_ = listed(found, "kind", "name").select(key, F.transform("x", lambda c: F.struct(c["kind"].alias("kind"), c["name"].alias("name"))).alias("refs"))
     srcs = listed(sources(files, key, text), "source", "table").select(key, F.transform("x", lambda c: F.struct(c["source"].alias("source"), c["table"].alias("table"))).alias("sources"))
+    ctes_ = listed(ctes(files, key, text), "name").select(key, F.transform("x", lambda c: F.struct(c["name"].alias("name"))).alias("ctes"))
+    hints = F.when(template_hint(F.col(text)), F.array(F.lit("unknown_template_region"))).otherwise(F.array().cast("array<string>"))
     made = create_name(F.col(text))
     stem = F.lower(F.regexp_extract(key, r"([^/]+?)(?:\.[^./]*)?$", 1))
     empty = lambda c, t: F.coalesce(F.col(c), F.array().cast(t)).alias(c)
     rows = (
-        files.withColumns({"create_name": made, "name": F.coalesce(made, stem)})
+        files.withColumns({"create_name": made, "name": F.coalesce(made, stem), "dialect_hints": hints})
         .join(cols, key, "left")
         .join(refs_, key, "left")
         .join(srcs, key, "left")
-        .select(key, text, "name", "create_name", empty("columns", "array<struct<alias:string,name:string,source_expr:string>>"), empty("refs", "array<struct<kind:string,name:string>>"), empty("sources", "array<struct<source:string,table:string>>"))
+        .join(ctes_, key, "left")
+        .select(key, text, "name", "create_name", "dialect_hints", empty("ctes", "array<struct<name:string>>"), empty("columns", "array<struct<alias:string,name:string,source_expr:string>>"), empty("refs", "array<struct<kind:string,name:string>>"), empty("sources", "array<struct<source:string,table:string>>"))
     )
-    body = tf.canonical_json([F.col("columns"), F.col("create_name"), F.array().cast("array<string>").alias("ctes"), F.lit("").alias("fingerprint"), F.lit("model").alias("kind"), F.col("name"), F.col("refs"), F.lit(schema_name).alias("schema"), F.col("sources"), F.lit(1).alias("v")])
+    body = tf.canonical_json([F.col("columns"), F.col("create_name"), F.col("ctes"), F.lit("").alias("fingerprint"), F.lit("model").alias("kind"), F.col("name"), F.col("refs"), F.lit(schema_name).alias("schema"), F.col("sources"), F.lit(1).alias("v")])
     return rows.withColumn("fingerprint", tf.sha256_hex(body))
+
+
+def pipeline_fingerprint(stages: DataFrame) -> DataFrame:
+    """One row (fingerprint): the SHA-256 of the JSON list of the stages' fingerprints, sorted.
+
+    Only hashes of one project's stages meet in one place, and a project has a bounded number of stages.
+    """
+    listed = F.transform(F.array_sort(F.collect_list("fingerprint")), lambda f: F.concat(F.lit('"'), f, F.lit('"')))
+    return stages.agg(tf.sha256_hex(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]"))).alias("fingerprint"))

@@ -79,6 +79,27 @@ def sources_yml_catalog(t):
     return catalog_rows(lines).select("source", "table")
 
 
-@query(f"select count(*) as stages, count(distinct k % 50 || '/' || k % 7 || '/' || k % 5 || '/' || k % 11 || '/' || k % 3 || '/' || k) as fingerprints from {_FILES}")
+_STAGE = """'{"columns":[{"alias":null,"name":"id","source_expr":"id"},{"alias":"v' || (k % 11) || '","name":"v' || (k % 11) || '","source_expr":"t.c' || (k % 5) || ' AS v' || (k % 11) || '"},{"alias":"fee","name":"fee","source_expr":"amount * ' || (k % 3) || ' AS Fee"},{"alias":null,"name":"price","source_expr":"t.price"}],"create_name":null,"ctes":[{"name":"base"}],"fingerprint":"","kind":"model","name":"m' || k || '","refs":[{"kind":"ref","name":"stg_' || (k % 50) || '"}],"schema":"weirflow.stage.v1","sources":[],"v":1}'"""
+
+
+@query(f"select path, 'm' || k as name, 'base' as ctes, 'sha256:' || sha256({_STAGE}) as fingerprint from {_FILES}")
 def stage_fingerprints(t):
-    return parse.stages(_files(t)).agg(F.count("*").alias("stages"), F.count_distinct("fingerprint").alias("fingerprints"))
+    return parse.stages(_files(t)).select("path", "name", F.array_join(F.transform("ctes", lambda c: c["name"]), ",").alias("ctes"), "fingerprint")
+
+
+@query(f"select 'sha256:' || sha256('[' || string_agg('\"' || f || '\"', ',' order by f) || ']') as fingerprint from (select 'sha256:' || sha256({_STAGE}) as f from {_FILES})")
+def pipeline_fingerprint(t):
+    return parse.pipeline_fingerprint(parse.stages(_files(t)))
+
+
+@query("select 's' || s_suppkey as path, unnest(case s_suppkey % 3 when 0 then ['orders_' || s_suppkey] when 1 then ['two'] else [] end) as name from supplier")
+def refs_outside_strings(t):
+    """Calls are looked for outside strings and comments, and what looks like a comment inside a string is none."""
+    text = F.expr("case s_suppkey % 3 when 0 then concat('select ''--'' as a from {{ ref(\"Orders_', s_suppkey, '\") }}') when 1 then 'select ''ref(\"q\")'' as a /* ref(''r'') */ from {{ ref( pkg, ''Two'', ''three'') }} -- ref(''s'')' else 'select ''{{ ref(\"q\") }}'' as a from t' end")
+    return parse.refs(t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"), text.alias("raw"))).select("path", "name")
+
+
+@query("select kind, sum(n)::bigint as n from (select count(*) as rows from part), (values ('WORD', 28), ('OP', 17), ('NUMBER', 4), ('STRING', 2), ('TEMPLATE_OPEN', 1), ('TEMPLATE_CLOSE', 1), ('COMMENT', 1)) as k(kind, each), lateral (select rows * each as n) group by kind")
+def lex_kinds(t):
+    """Kinds of the pieces of one known text, counted by hand; spaces apart."""
+    return lex.tokens(_files(t)).where("kind <> 'SPACE'").groupBy("kind").agg(F.count("*").alias("n"))
