@@ -130,7 +130,7 @@ def test_numbering_of_a_whole_table_without_one_task(spark):
     rows = spark.range(4000).selectExpr("id", "if(id % 50 = 0, null, id * 7919 % 13) as day").repartition(5)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = history.numbered(rows, ["day", "id"]).localCheckpoint()
+        got = history.numbered(rows, ["day", "id"]).checkpoint()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = sorted(((r.day is not None, r.day or 0, r.id) for r in rows.collect()))

@@ -52,6 +52,13 @@ def unified_diff(drifts: DataFrame) -> DataFrame:
     return drifts.withColumn("diff", F.array_join(lines, "\n"))
 
 
+def version_chain(rows: DataFrame, stage: str, by: str, digest: str) -> DataFrame:
+    """(stage, by, version, parent_version, changed): each stage's snapshots numbered in order, and whether the digest moved."""
+    w = Window.partitionBy(stage).orderBy(by)
+    linked = rows.select(stage, by, F.row_number().over(w).cast("long").alias("version"), F.lag(digest).over(w).alias("_old"), F.col(digest).alias("_now"))
+    return linked.withColumn("parent_version", F.lag("version").over(w)).select(stage, by, "version", "parent_version", (~F.col("_old").eqNullSafe(F.col("_now"))).alias("changed"))
+
+
 def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     """Changes between consecutive snapshots (stage, version, column, data_type, nullable): added, removed, retyped, nullability.
 

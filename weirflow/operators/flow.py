@@ -79,6 +79,15 @@ def verify(store: Store, session_id: str, problems: DataFrame) -> bool:
     return clean
 
 
+def states(items: DataFrame) -> DataFrame:
+    """(state, n) of plan items."""
+    return items.groupBy("state").agg(F.count("*").alias("n"))
+
+
 def item_states(store: Store, plan_id: str) -> DataFrame:
-    """(state, n) of a plan's items as they stand."""
-    return store.latest("plan_items", "plan_id", "change_id").where(F.col("plan_id") == plan_id).groupBy("state").agg(F.count("*").alias("n"))
+    return states(store.items(plan_id))
+
+
+def already_applied(items: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """The items, each once, whose `keys` are among those of work that is done."""
+    return items.join(done.select(*keys).distinct(), keys, "left_semi").distinct()

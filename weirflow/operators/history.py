@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow import session
+
 
 def latest(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """The last row of each key; a partial aggregate, no sort."""
@@ -35,8 +37,41 @@ def nearest_rank(rows: DataFrame, key: str, value: str, share: float) -> DataFra
     return ranked.where(F.col("_upto") >= wanted).groupBy(key).agg(F.min(value).alias("p95"), F.max("n").alias("n"))
 
 
+def recent(rows: DataFrame, by: str, n: int = 10) -> DataFrame:
+    """The newest `n` rows: a top-k, whose limit is its feature."""
+    return rows.orderBy(F.col(by).desc()).limit(n)
+
+
+def log_of(rows: DataFrame, by: str, key: str | None = None, value: object = None, n: int = 100, since: Column | None = None, at: str = "ts") -> DataFrame:
+    """The newest `n` rows of a log, of one `key` value and from `since` on if these are given."""
+    if key is not None:
+        rows = rows.where(F.col(key) == F.lit(value))
+    if since is not None:
+        rows = rows.where(F.col(at) >= since)
+    return recent(rows, by, n)
+
+
+def found_of(runs: DataFrame, found: DataFrame, key: str = "run_id", by: str = "run_id", n: int | None = None) -> DataFrame:
+    """`runs`, newest first, with the sorted list of what each found (empty where nothing), the newest `n` if given."""
+    newest = runs if n is None else recent(runs, by, n)
+    listed = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*(c for c in found.columns if c != key)))).alias("found"))
+    return newest.join(listed, key, "left").orderBy(F.col(by).desc())
+
+
+def dead(rows: DataFrame, gone: Column, *by: str) -> DataFrame:
+    """What was given up on, the oldest first."""
+    return rows.where(gone).orderBy(*by)
+
+
+def rates(rows: DataFrame, key: str, value: str, over: Column) -> DataFrame:
+    """(key, p50, p95, over_rate): interpolated percentiles of `value`, exact, and the share of rows that are `over`."""
+    share = lambda p: F.percentile(value, F.lit(p))
+    return rows.groupBy(key).agg(share(0.5).alias("p50"), share(0.95).alias("p95"), (F.count_if(over) / F.count("*")).alias("over_rate"))
+
+
 def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
     """`rows` with change ids c0, c1, ... in one global order: ranges are numbered apart, then moved by the counts of the ranges before."""
+    session.checkpoints(rows.sparkSession)
     # Written once: the ranges must be the same when they are counted and when they are numbered.
     ranged = rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()).checkpoint()
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
@@ -87,3 +122,14 @@ def retry_schedule(failures: DataFrame, base_seconds: float = 1.0, most_seconds:
     wait = F.least(F.lit(most_seconds), F.lit(base_seconds) * F.pow(F.lit(2.0), F.col("attempt")))
     again = failures.where(F.col("attempt") < attempts).withColumn("retry_after", F.timestamp_seconds(F.unix_micros("failed_at") / 1e6 + wait))
     return again, failures.where(F.col("attempt") >= attempts)
+
+
+def kpis(runs: DataFrame, findings: DataFrame, drifts: DataFrame) -> DataFrame:
+    """One row of figures over the history: runs, clean_share, mean_drifts, breaking_share, open_findings, suppressed_share.
+
+    Shares of nothing are null. Each input is reduced to one row before they meet.
+    """
+    a = runs.agg(F.count("*").alias("runs"), F.avg((F.col("breaking") == 0).cast("double")).alias("clean_share"), F.avg("drifts").alias("mean_drifts"))
+    b = drifts.agg(F.avg(F.col("breaking").cast("double")).alias("breaking_share"))
+    c = findings.agg(F.count_if(F.col("status") == "open").alias("open_findings"), F.avg((F.col("status") == "suppressed").cast("double")).alias("suppressed_share"))
+    return a.join(b).join(c)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow import session
 from weirflow.operators import kernels
 
 
@@ -15,6 +18,11 @@ def one_per_name(stages: DataFrame) -> DataFrame:
     return stages.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
+def one_per_pair(refs: DataFrame) -> DataFrame:
+    """(producer, consumer, kind) of (producer, consumer, ordinal, kind): each pair once with the kind of its first reference."""
+    return refs.groupBy("producer", "consumer").agg(F.min_by("kind", "ordinal").alias("kind"))
+
+
 def resolve(refs: DataFrame, stages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, missing) of refs (consumer, ordinal, name, kind) against stages (name): self references are neither.
 
@@ -22,7 +30,7 @@ def resolve(refs: DataFrame, stages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     names = stages.select(F.col("name").alias("producer")).distinct()
     wanted = refs.withColumnRenamed("name", "producer").where("producer <> consumer")
-    edges = wanted.join(names, "producer").groupBy("producer", "consumer").agg(F.min_by("kind", "ordinal").alias("kind"))
+    edges = one_per_pair(wanted.join(names, "producer"))
     missing = wanted.join(names, "producer", "left_anti").select("consumer", F.col("producer").alias("ref"))
     return edges, missing
 
@@ -48,6 +56,7 @@ def downstream(edges: DataFrame, start: DataFrame, most_depth: int = 32) -> Data
 
     Each turn joins only the newest nodes and drops those seen, so cycles end; it stops when a turn adds none.
     """
+    session.checkpoints(edges.sparkSession)
     seen = start.select("node", F.lit(0).alias("depth")).distinct()
     fresh = seen
     for depth in range(1, most_depth):
@@ -62,6 +71,7 @@ def downstream(edges: DataFrame, start: DataFrame, most_depth: int = 32) -> Data
 def shortest_route(edges: DataFrame, source: str, target: str, most_depth: int = 32) -> DataFrame:
     """(route, depth): a shortest route, of several the first in order of its names."""
     spark = edges.sparkSession
+    session.checkpoints(spark)
     fresh = spark.createDataFrame([(source, source, [source])], "node string, route string, seen array<string>")
     known = fresh.select("node")
     for depth in range(most_depth + 1):
@@ -85,21 +95,53 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return down.join(up, "node", "full").select("node", F.coalesce("producers", none).alias("producers"), F.coalesce("consumers", none).alias("consumers"))
 
 
-def order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(run_id, place, node) of each run's topological order. A run's graph, the stages of one project, is one group."""
+def kind_of(edges: DataFrame, pairs: DataFrame, default: str = "ref") -> DataFrame:
+    """`pairs` (producer, consumer) with the kind of their edge, or `default` where there is none."""
+    known = edges.select("producer", "consumer", "kind").dropDuplicates(["producer", "consumer"])
+    return pairs.join(known, ["producer", "consumer"], "left").withColumn("kind", F.coalesce("kind", F.lit(default)))
 
-    def walk(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        found = kernels.topological(sorted(n["node"]), list(zip(e["producer"], e["consumer"], strict=True)))
-        return pd.DataFrame({"run_id": key[0], "place": range(len(found)), "node": found})
 
-    return nodes.groupBy("run_id").cogroup(edges.groupBy("run_id")).applyInPandas(walk, "run_id long, place int, node string")
+def _by_run(nodes: DataFrame, edges: DataFrame, visit: Callable[[list[str], list[tuple[str, str]]], list], shape: str, schema: pa.Schema) -> DataFrame:
+    """What `visit` makes of each run's (nodes in order of `ordinal`, edges), numbered by `place`.
 
+    A run's graph, the stages of one project, meets in one task; runs are read one after another from rows sorted by run, so a
+    task holds one graph at a time.
+    """
+    rows = nodes.select("run_id", "ordinal", F.col("node").alias("a"), F.lit(None).cast("string").alias("b"))
+    rows = rows.union(edges.select("run_id", F.lit(None), "producer", "consumer"))
+    dealt = rows.repartition("run_id").sortWithinPartitions("run_id", F.col("b").isNotNull(), "ordinal", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, list, list]] = []
+
+        def made(done: list) -> pa.RecordBatch:
+            found = [(r, i, x) for r, n, e in done for i, x in enumerate(visit(n, e))]
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], schema.field(k).type) for k in range(3)], schema=schema)
+
+        for batch in batches:
+            for r, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if not held or held[-1][0] != r:
+                    held.append((r, [], []))
+                if b is None:
+                    held[-1][1].append(a)
+                else:
+                    held[-1][2].append((a, b))
+            if len(held) > 1:
+                yield made(held[:-1])
+                del held[:-1]
+        if held:
+            yield made(held)
+
+    return dealt.mapInArrow(run, shape)
 
-def cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(run_id, place, walk) of the closed walks of each run, nodes visited in order of `ordinal`."""
 
-    def walk(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        found = kernels.cycles(list(n.sort_values("ordinal")["node"]), list(zip(e["producer"], e["consumer"], strict=True)))
-        return pd.DataFrame({"run_id": key[0], "place": range(len(found)), "walk": pd.Series(found, dtype=object)})
+def order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(run_id, place, node) of each run's topological order."""
+    schema = pa.schema([("run_id", pa.int64()), ("place", pa.int32()), ("node", pa.string())])
+    return _by_run(nodes.withColumn("ordinal", F.col("node")), edges, kernels.topological, "run_id long, place int, node string", schema)
+
 
-    return nodes.groupBy("run_id").cogroup(edges.groupBy("run_id")).applyInPandas(walk, "run_id long, place int, walk array<string>")
+def cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(run_id, place, walk) of the closed walks of each run, nodes visited in order of `ordinal`."""
+    schema = pa.schema([("run_id", pa.int64()), ("place", pa.int32()), ("walk", pa.list_(pa.string()))])
+    return _by_run(nodes, edges, kernels.cycles, "run_id long, place int, walk array<string>", schema)

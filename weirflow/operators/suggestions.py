@@ -61,7 +61,8 @@ def validate(suggested: DataFrame, files: DataFrame, planned: DataFrame, least:
         .when(F.col("_dup"), "already planned")
     )
     judged = rows.withColumn("reason", reason)
-    good = judged.where("reason is null").withColumn("n", F.row_number().over(Window.orderBy("ordinal")))
-    accepted = good.where(F.col("n") <= most).select("path", "start", "end", "before", "after", F.round("confidence", 3).alias("confidence"), "rationale", F.concat(F.lit("LLM-"), F.col("n").cast("string")).alias("rule_id"), F.lit("risky").alias("tier"), F.lit(1).alias("rule_version"))
-    over = good.where(F.col("n") > most).withColumn("reason", F.lit("over the cap")).select("ordinal", "path", "reason")
+    good = judged.where("reason is null")
+    first = good.orderBy("ordinal").limit(most)  # so the window below sees `most` rows at the most
+    accepted = first.withColumn("n", F.row_number().over(Window.orderBy("ordinal"))).select("path", "start", "end", "before", "after", F.round("confidence", 3).alias("confidence"), "rationale", F.concat(F.lit("LLM-"), F.col("n").cast("string")).alias("rule_id"), F.lit("risky").alias("tier"), F.lit(1).alias("rule_version"))
+    over = good.join(first.select("ordinal"), "ordinal", "left_anti").withColumn("reason", F.lit("over the cap")).select("ordinal", "path", "reason")
     return accepted, judged.where("reason is not null").select("ordinal", "path", "reason").union(over)

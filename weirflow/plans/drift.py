@@ -32,14 +32,26 @@ def drift_unified_diff(t):
     return drift.unified_diff(_found(t)).select("consumer", "diff")
 
 
-@query("select 'p' || (o_orderkey % 100) as producer, 'c' || o_orderkey as consumer, list_transform(range(0, (o_orderkey % 100 % 4 + 1)::bigint), lambda i: 'col' || i)[(o_orderkey % 3 + 1)::bigint + 1:] as added, o_orderkey % 3 > o_orderkey % 100 % 4 as breaking from orders where o_orderkey % 3 <> o_orderkey % 100 % 4")
+@query("select 'p' || (o_orderkey % 100) as producer, 'c' || o_orderkey as consumer, list_transform(range(0, (o_orderkey % 100 % 4 + 1)::bigint), lambda i: 'col' || i)[(o_orderkey % 3 + 1)::bigint + 1:] as added, list_transform(range((o_orderkey % 100 % 4 + 1)::bigint, (o_orderkey % 3 + 1)::bigint), lambda i: 'col' || i) as removed, 0 as n_renamed, o_orderkey % 3 > o_orderkey % 100 % 4 as breaking from orders where o_orderkey % 3 <> o_orderkey % 100 % 4")
 def schema_set_diff(t):
     names = lambda n: F.transform(F.sequence(F.lit(0), n.cast("int")), lambda i: F.concat(F.lit("col"), i.cast("string")))
     k = F.col("o_orderkey")
     edges = t.orders.select(F.concat(F.lit("p"), (k % 100).cast("string")).alias("producer"), F.concat(F.lit("c"), k.cast("string")).alias("consumer"))
     producers = t.orders.select((k % 100).alias("p")).distinct().select(F.concat(F.lit("p"), F.col("p").cast("string")).alias("name"), names(F.col("p") % 4).alias("columns"))
     consumers = t.orders.select(F.concat(F.lit("c"), k.cast("string")).alias("name"), names(k % 3).alias("columns"))
-    return drift.detect(edges, producers.union(consumers), threshold=1.0).select("producer", "consumer", "added", "breaking")
+    return drift.detect(edges, producers.union(consumers)).select("producer", "consumer", "added", "removed", F.size("renamed").alias("n_renamed"), "breaking")
+
+
+@query("select 'p' || o_orderkey as producer, 'c' || o_orderkey as consumer, 'amount_' || (o_orderkey % 7) as added, case when o_orderkey % 2 = 0 then '' else 'zz' end as removed, 'amount>amount_' || (o_orderkey % 7) as renamed from orders")
+def renames_of_edges(t):
+    """Each order is an edge whose producer renamed a column, and half of them lost one as well."""
+    k = F.col("o_orderkey").cast("string")
+    name = lambda kind: F.concat(F.lit(kind), k)
+    edges = t.orders.select(name("p").alias("producer"), name("c").alias("consumer"))
+    producers = t.orders.select(name("p").alias("name"), F.array(F.lit("id"), F.concat(F.lit("amount_"), (F.col("o_orderkey") % 7).cast("string"))).alias("columns"))
+    consumers = t.orders.select(name("c").alias("name"), F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("id"), F.lit("amount"))).otherwise(F.array(F.lit("id"), F.lit("amount"), F.lit("zz"))).alias("columns"))
+    found = drift.detect(edges, producers.union(consumers))
+    return found.select("producer", "consumer", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"), F.array_join(F.transform("renamed", lambda r: F.concat(r["old"], F.lit(">"), r["new"])), ",").alias("renamed"))
 
 
 @query("select * from (values ('s', 2, 1, 'b', 'retyped', true), ('s', 2, 1, 'c', 'added', false), ('s', 3, 2, 'a', 'removed', true), ('s', 3, 2, 'c', 'nullable', true)) as t(stage, version, parent, \"column\", change, breaking)")

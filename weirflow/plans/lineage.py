@@ -10,23 +10,28 @@ from weirflow.plans.registry import query
 _FK = """(select 'region:' || n_regionkey as producer, 'nation:' || n_nationkey as consumer, 'ref' as kind from nation
   union all select 'nation:' || c_nationkey, 'customer:' || c_custkey, 'ref' from customer
   union all select 'nation:' || s_nationkey, 'supplier:' || s_suppkey, 'source' from supplier
-  union all select 'customer:' || o_custkey, 'order:' || o_orderkey, 'ref' from orders)"""
+  union all select 'customer:' || o_custkey, 'order:' || o_orderkey, 'ref' from orders
+  union all select 'order:' || l_orderkey, 'line:' || l_orderkey || '.' || l_linenumber, 'ref' from lineitem
+  union all select 'supplier:' || l_suppkey, 'line:' || l_orderkey || '.' || l_linenumber, 'source' from lineitem)"""
 
 
 def _edges(t):
     name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     edge = lambda df, a, b, kind="ref": df.select(name(*a).alias("producer"), name(*b).alias("consumer"), F.lit(kind).alias("kind"))
+    lines = t.lineitem.select("l_orderkey", "l_suppkey", F.concat(F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string")).alias("line"))
     return (
         edge(t.nation, ("region:", "n_regionkey"), ("nation:", "n_nationkey"))
         .union(edge(t.customer, ("nation:", "c_nationkey"), ("customer:", "c_custkey")))
         .union(edge(t.supplier, ("nation:", "s_nationkey"), ("supplier:", "s_suppkey"), "source"))
         .union(edge(t.orders, ("customer:", "o_custkey"), ("order:", "o_orderkey")))
+        .union(edge(lines, ("order:", "l_orderkey"), ("line:", "line")))
+        .union(edge(lines, ("supplier:", "l_suppkey"), ("line:", "line"), "source"))
     )
 
 
-@query(f"select consumer, count(*) as n from {_FK} where kind = 'ref' group by consumer having count(*) >= 1")
+@query(f"select consumer, count(distinct producer) as n from {_FK} group by consumer")
 def fan_in(t):
-    return _edges(t).where("kind = 'ref'").groupBy("consumer").agg(F.count("*").alias("n"))
+    return lineage.neighbours(_edges(t)).select(F.col("node").alias("consumer"), F.size("producers").cast("long").alias("n")).where("n > 0")
 
 
 @query(f"select producer, count(distinct consumer) as n from {_FK} group by producer")
@@ -72,20 +77,38 @@ def resolve_sources_semi(t):
     return lineage.resolve_sources(wanted, catalog)[0]
 
 
-@query(f"with r as {_REFS} select consumer, name as producer, arg_min(kind, ordinal) as kind from r group by consumer, name")
-def edge_dedupe_first_kind(t):
-    return _refs(t)[0].groupBy("consumer", F.col("name").alias("producer")).agg(F.min_by("kind", "ordinal").alias("kind"))
+def _runs(t):
+    """A graph for each customer, who has orders, which have lines: (run_id, producer, consumer) and (run_id, node)."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.lpad(F.col(c).cast("string"), 12, "0"))
+    run = F.col("o_custkey").cast("long").alias("run_id")
+    first = t.orders.select(run, name("a", "o_custkey").alias("producer"), name("b", "o_orderkey").alias("consumer"))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.concat(name("c", "l_orderkey"), F.lit("."), F.col("l_linenumber").cast("string")).alias("consumer"))
+    second = t.orders.select("o_custkey", "o_orderkey").join(lines, "o_orderkey").select(run, name("b", "o_orderkey").alias("producer"), "consumer")
+    edges = first.union(second)
+    return edges, edges.select("run_id", F.col("producer").alias("node")).union(edges.select("run_id", "consumer")).distinct()
+
+
+_PAD = "lpad({}::varchar, 12, '0')"
+_RUN_EDGES = f"""(select o_custkey::bigint as run_id, 'a' || {_PAD.format('o_custkey')} as producer, 'b' || {_PAD.format('o_orderkey')} as consumer from orders
+  union all select o_custkey::bigint, 'b' || {_PAD.format('o_orderkey')}, 'c' || {_PAD.format('o_orderkey')} || '.' || l_linenumber from orders join lineitem on o_orderkey = l_orderkey)"""
 
 
-@query("select * from (values (1::bigint, 0, 'a'), (1, 1, 'b'), (1, 2, 'c'), (1, 3, 'd'), (2, 0, 'x'), (2, 1, 'y'), (2, 2, 'z')) as t(run_id, place, node)")
+@query(f"with e as {_RUN_EDGES}, n as (select run_id, producer as node from e union select run_id, consumer from e) select run_id, (row_number() over (partition by run_id order by node) - 1)::int as place, node from n")
 def topo_order(t):
-    nodes = t.spark.sql("select * from values (1L, 'd'), (1L, 'c'), (1L, 'b'), (1L, 'a'), (2L, 'x'), (2L, 'y'), (2L, 'z') as t(run_id, node)")
-    edges = t.spark.sql("select * from values (1L, 'a', 'b'), (1L, 'a', 'c'), (1L, 'b', 'd'), (1L, 'c', 'd'), (2L, 'x', 'y'), (2L, 'y', 'z'), (2L, 'z', 'y') as t(run_id, producer, consumer)")
+    """The graph is a forest whose names sort by level and then by producer, so its first-in first-out order is that of the names."""
+    edges, nodes = _runs(t)
     return lineage.order(edges, nodes)
 
 
-@query("select * from (values (1::bigint, 0, 'a>b>c>a')) as t(run_id, place, walk)")
+@query(f"with e as {_RUN_EDGES} select run_id, 0 as place, producer || '>' || min(consumer) || '>' || producer as walk from e where producer like 'a%' group by run_id, producer")
 def cycles(t):
-    nodes = t.spark.sql("select * from values (1L, 0, 'a'), (1L, 1, 'b'), (1L, 2, 'c'), (2L, 0, 'x') as t(run_id, ordinal, node)")
-    edges = t.spark.sql("select * from values (1L, 'a', 'b'), (1L, 'b', 'c'), (1L, 'c', 'a'), (2L, 'x', 'y') as t(run_id, producer, consumer)")
-    return lineage.cycles(edges, nodes).withColumn("walk", F.array_join("walk", ">"))
+    """Each customer's graph with one edge more, from the first order back to the customer."""
+    edges, nodes = _runs(t)
+    back = edges.where("producer like 'a%'").groupBy("run_id", F.col("producer").alias("top")).agg(F.min("consumer").alias("leaf")).select("run_id", F.col("leaf").alias("producer"), F.col("top").alias("consumer"))
+    walks = lineage.cycles(edges.union(back), nodes.withColumn("ordinal", F.col("node")))
+    return walks.withColumn("walk", F.array_join("walk", ">"))
+
+
+@query(f"with r as {_REFS} select consumer, name as producer, arg_min(kind, ordinal) as kind from r group by consumer, name")
+def edge_dedupe_first_kind(t):
+    return lineage.one_per_pair(_refs(t)[0].withColumnRenamed("name", "producer"))

@@ -88,6 +88,25 @@ def finding_overlap_dedupe(t):
     return security.dedupe(spans).groupBy("path").agg(F.count("*").alias("n"))
 
 
+@query("select 'p' || p_partkey as path, 'critical' as severity, 10 as col, 9 as start, (9 + 25 + length(p_partkey::varchar))::int as \"end\", 'token=<redacted>' as snippet_redacted from part")
+def secret_prefix_wins(t):
+    """A long value assigned to a key is found twice, by its entropy and by its prefix: the more severe span stays."""
+    content = F.concat(F.lit('token = "sk-aB3dE5gH7jK9mN1pQ2sT4v'), F.col("p_partkey").cast("string"), F.lit('"'))
+    found = security.scan(t.part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), F.lit("py").alias("ext"), content.alias("content")), ["SEC-001"])
+    return found.select("path", "severity", "col", "span.start", "span.end", "snippet_redacted")
+
+
+_SPANS = "(select l_orderkey as path, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey % 25) as n, l_linenumber * 10 as \"start\", l_linenumber * 10 + 4 + l_partkey % 25 as \"end\" from lineitem)"
+
+
+@query(f"with recursive s as materialized {_SPANS}, r(path, n, \"start\", \"end\", reach, kept) as (select path, n, \"start\", \"end\", \"end\", true from s where n = 1 union all select s.path, s.n, s.\"start\", s.\"end\", case when s.\"start\" >= reach then s.\"end\" else reach end, s.\"start\" >= reach from r join s on s.path = r.path and s.n = r.n + 1) select path, \"start\", \"end\" from r where kept")
+def candidate_self_overlap(t):
+    """Spans that really overlap, in many files: the first of each run of overlaps stays."""
+    at = F.col("l_linenumber") * 10
+    spans = t.lineitem.select(F.col("l_orderkey").alias("path"), at.alias("start"), (at + 4 + F.col("l_partkey") % 25).alias("end"), F.lit("R").alias("rule_id"))
+    return rewrite.disjoint(spans).select("path", "start", "end")
+
+
 @query("select count(*) as n, count(*) filter (blocked) as blocked, count(*) filter (note) as noted from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, bool_or(l_partkey % 3 = 0 and o_orderkey is not null) as blocked, bool_or(o_orderkey is not null) as note from (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem) left join orders on l_orderkey = o_orderkey and l_linenumber * 10 < o_custkey % 60 + 5 and o_custkey % 60 < l_linenumber * 10 + 8 group by 1, 2, 3, 4)".replace("l_partkey % 3 = 0", "o_custkey % 2 = 0"))
 def candidate_overlap_join(t):
     found = t.lineitem.select(F.col("l_orderkey").alias("path"), (F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + 8).alias("end"), "l_partkey", "l_suppkey").distinct()
@@ -117,3 +136,41 @@ def rewrite_candidates_by_rule(t):
 def apply_edits(t):
     stages = _stages(t)
     return rewrite.apply(stages, rewrite.disjoint(rewrite.candidates(stages, ["REF-004"]))).select("path", "rewritten", "status")
+
+
+def _edits(t, rule, raw, columns="array('id')"):
+    stages = t.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"), F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("name"), F.expr(raw).alias("raw"), F.expr(columns).alias("columns"))
+    return rewrite.candidates(stages, [rule]).select("path", "start", "end", "before", "after")
+
+
+_DEAD = "case c_custkey % 4 when 0 then 'WITH dead_' || c_nationkey || ' AS (select 1), keep AS (select 2) select 3 from keep' when 1 then 'WITH base AS (select 1) select {{ star(base) }} from t' when 2 then 'WITH base AS (select 1) select 2 from \"Base\"' else 'WITH gone AS (delete from t) select 1' end"
+
+
+@query("select 'c' || c_custkey as path, 5 as start, (5 + length(dead))::int as \"end\", dead as before, '' as after from (select c_custkey, 'dead_' || c_nationkey || ' AS (select 1), ' as dead from customer where c_custkey % 4 = 0)")
+def dead_cte_edits(t):
+    """REF-001 takes only what nothing reads: neither a template nor a quoted name, and without side effects."""
+    return _edits(t, "REF-001", _DEAD)
+
+
+@query("select 'c' || c_custkey as path, (length(head) + 15)::int as start, (length(head) + 17)::int as \"end\", 't1' as before, body as after from (select c_custkey, '(select a from raw_' || c_nationkey || ')' as body, 'WITH t1 AS (select a from raw_' || c_nationkey || ')' as head from customer where c_custkey % 2 = 0)")
+def single_use_cte_edits(t):
+    """REF-003 puts a CTE that is read once in its place."""
+    return _edits(t, "REF-003", "case c_custkey % 2 when 0 then 'WITH t1 AS (select a from raw_' || c_nationkey || ') select a from t1' else 'WITH t1 AS (select a from t limit 3) select a from t1' end")
+
+
+@query("select 'c' || c_custkey as path, 7 as start, 9 as \"end\", '* ' as before, 'c' || c_nationkey || ', id' as after from customer where c_custkey % 3 <> 0")
+def star_edits(t):
+    """REF-005 lists the columns of the stage read; an unknown stage keeps its star."""
+    return _edits(t, "REF-005", "case when c_custkey % 3 = 0 then 'select * from ghost' else 'select * from m' || c_custkey end", "array('id', concat('c', c_nationkey))")
+
+
+@query("select 'c' || c_custkey as path, (22 + length(c_nationkey::varchar))::int as start, (27 + length(c_nationkey::varchar))::int as \"end\", ' AS o' as before, '' as after from customer where c_custkey % 2 = 1")
+def dead_alias_edits(t):
+    """REF-006 drops an alias that nothing uses."""
+    return _edits(t, "REF-006", "case c_custkey % 2 when 1 then 'select id from orders_' || c_nationkey || ' AS o' else 'select o.id from orders o' end")
+
+
+@query("select 'c' || c_custkey as path, (30 + length(c_nationkey::varchar))::int as start, (41 + length(c_nationkey::varchar))::int as \"end\", ' order by b' as before, '' as after from customer where c_custkey % 5 < 3")
+def subquery_sort_edits(t):
+    """REF-007 drops the sorting of a subquery, but not with a limit."""
+    return _edits(t, "REF-007", "case when c_custkey % 5 < 3 then 'select a from (select b from t' || c_nationkey || ' order by b) x' else 'select a from (select b from t order by b limit 5) x' end")

@@ -19,7 +19,7 @@ def _relative(root: str):
 def project(spark: SparkSession, root: str, pattern: str = "*.[sS][qQ][lL]") -> DataFrame:
     """(path, raw) of every SQL file under `root`; bytes that are not UTF-8 become U+FFFD. Sort by path where order matters."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return found.select(_relative(root).alias("path"), F.col("content").cast("string").alias("raw"))
+    return found.select(_relative(root).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("raw"))
 
 
 def scan_corpus(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -28,7 +28,7 @@ def scan_corpus(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) ->
     ext = F.lower(F.regexp_extract("rel", r"\.([^./]+)$", 1))
     folders = "|".join(x.replace(".", r"\.") for x in SKIPPED_FOLDERS)
     wanted = found.withColumn("ext", ext).where(F.col("ext").isin(*SCAN_EXTENSIONS) & ~F.col("rel").rlike(rf"(?:^|/)(?:{folders})/"))
-    small = wanted.where(F.col("length") <= most_bytes).select(F.col("rel").alias("path"), "ext", F.col("content").cast("string").alias("content"))
+    small = wanted.where(F.col("length") <= most_bytes).select(F.col("rel").alias("path"), "ext", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     return small, wanted.where(F.col("length") > most_bytes).select(F.col("rel").alias("path"), "length")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weirflow.operators import history
+
 # The tables and their columns.
 SCHEMAS = {
     "runs": "run_id long, root string, checked_at timestamp, stages long, drifts long, breaking long",
@@ -31,11 +33,13 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[table])
         return self.spark.read.schema(SCHEMAS[table]).option("mergeSchema", "true").parquet(f"{self.folder}/{table}")
 
-    def append(self, table: str, rows: DataFrame) -> None:
+    def _shaped(self, table: str, rows: DataFrame) -> DataFrame:
         wanted = self.spark.createDataFrame([], SCHEMAS[table]).schema
         have = set(rows.columns)
-        shaped = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
-        shaped.write.mode("append").parquet(f"{self.folder}/{table}")
+        return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        self._shaped(table, rows).write.mode("append").parquet(f"{self.folder}/{table}")
 
     def next_run(self) -> int:
         return (self.read("runs").agg(F.max("run_id")).first()[0] or 0) + 1
@@ -45,13 +49,40 @@ class Store:
         return self.read(table).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
     def recent_runs(self, n: int = 10) -> DataFrame:
-        return self.read("runs").orderBy(F.col("run_id").desc()).limit(n)
+        return history.recent(self.read("runs"), "run_id", n)
+
+    def audit_log(self, session_id: str | None = None, n: int = 100, since: Column | None = None) -> DataFrame:
+        return history.log_of(self.read("audit"), "audit_id", session_id and "session_id", session_id, n, since)
+
+    def drift_history(self, n: int | None = None) -> DataFrame:
+        return history.found_of(self.read("runs"), self.read("drifts").select("run_id", "producer", "consumer", "breaking"), n=n)
+
+    def items(self, plan_id: str) -> DataFrame:
+        """A plan's items as they stand, in order of the text of their change ids (c10 before c2)."""
+        return self.latest("plan_items", "plan_id", "change_id").where(F.col("plan_id") == plan_id).orderBy("change_id")
+
+    def export(self, folder: str) -> None:
+        """One way out for analytics: the tables of runs, findings, drifts and audit as Parquet files of the present schema."""
+        for table in ("runs", "scans", "drifts", "lineage_edges", "audit"):
+            self.read(table).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{table}")
 
-    def audit_log(self, session_id: str | None = None, n: int = 100) -> DataFrame:
-        rows = self.read("audit")
-        rows = rows if session_id is None else rows.where(F.col("session_id") == session_id)
-        return rows.orderBy(F.col("audit_id").desc()).limit(n)
+    def migrate(self) -> int:
+        """Rewrite tables that an older version wrote without some of today's columns; returns how many there were.
 
-    def drift_history(self) -> DataFrame:
-        drifts = self.read("drifts").groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("producer", "consumer", "breaking"))).alias("found"))
-        return self.read("runs").join(drifts, "run_id", "left")
+        A table is written anew beside the old one and then takes its place, so a stop halfway leaves one of the two whole.
+        """
+        done = 0
+        fs_of = lambda p: p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for table, shape in SCHEMAS.items():
+            where = lambda suffix="", table=table: self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}{suffix}")
+            if not fs_of(where()).exists(where()):
+                continue
+            have = self.spark.read.option("mergeSchema", "true").parquet(f"{self.folder}/{table}")
+            wanted = self.spark.createDataFrame([], shape).schema
+            if set(wanted.names) <= set(have.columns):
+                continue
+            self._shaped(table, have).write.mode("overwrite").parquet(f"{self.folder}/{table}.new")
+            fs_of(where()).delete(where(), True)
+            fs_of(where()).rename(where(".new"), where())
+            done += 1
+        return done
