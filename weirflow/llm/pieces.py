@@ -4,7 +4,8 @@ The model file's protobuf is read field by field; its pieces, scores, normaliser
 model (BPE merges in order of score, or unigram with its scores) with byte fallback, and the metaspace marker U+2581.
 No piece of most models has the marker after another character; then no merge crosses the start of a run of spaces, a
 text is the sequence of its space-led chunks, and each distinct chunk of a batch is encoded once, in one multithreaded
-call. Each distinct chunk is also encoded by SentencePiece itself, and differences are counted (`parity_diff`).
+call. Each distinct chunk is also encoded by SentencePiece itself, and differences are counted (`parity_diff`); for models
+whose chunks cannot be compared alone, whole texts are.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from weirflow.llm import textops as tx
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Bound of each worker's table of known chunks.
-KNOWN_CHUNKS = 60_000
+#: Bounds of each of the two generations of a worker's table of known chunks: their number, and the bytes of their texts and ids.
+KNOWN_CHUNKS = 120_000
+KNOWN_BYTES = 8 << 20
 #: Threads of a worker's encoder; an executor has a worker for each of its cores.
 ENCODE_THREADS = "2"
 
@@ -131,7 +133,8 @@ def build(spec: Spec):
     from tokenizers import Tokenizer, models
 
     if spec.kind == BPE:
-        model = models.BPE({p: i for i, (p, _, _) in enumerate(spec.pieces)}, _merges(spec), unk_token=spec.pieces[spec.unk][0], fuse_unk=True, byte_fallback=spec.byte_fallback)
+        # Distinct chunks are kept by the codec, so the model needs no cache of its own.
+        model = models.BPE({p: i for i, (p, _, _) in enumerate(spec.pieces)}, _merges(spec), unk_token=spec.pieces[spec.unk][0], fuse_unk=True, byte_fallback=spec.byte_fallback, cache_capacity=0)
     elif spec.kind == UNIGRAM:
         model = models.Unigram([(p, s) for p, s, _ in spec.pieces], spec.unk, spec.byte_fallback)
     else:
@@ -160,8 +163,11 @@ class Codec:
         #: A chunk alone, as a text, is encoded like the chunk only under these settings.
         self._comparable = self.spec.dummy_prefix and not self.spec.squeeze and self.split
         self._plain = [p.replace(MARK, " ") if t in (NORMAL, USER) else None for p, _, t in self.spec.pieces]
-        #: Ids of each known chunk; the few whose text is not the chunk itself, or that differ, are spelt out apart.
-        self._known: dict[str, bytes] = {}
+        #: Ids of each known chunk, in a younger and an older generation; when the younger is full it becomes the older.
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._young_bytes = 0
+        #: The few known chunks whose text is not the chunk itself, or that differ from SentencePiece.
         self._odd: dict[str, tuple[str, bool]] = {}
 
     def normalise(self, text: str) -> str:
@@ -204,44 +210,74 @@ class Codec:
                 out.append(self.spec.unk_surface if t == UNKNOWN else "" if t == CONTROL else p)
         return "".join(out).replace(MARK, " ")
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode the chunks not yet known in one multithreaded call, and hold them against SentencePiece."""
-        new = list({c for c in chunks if c not in self._known})
-        if not new:
-            return
-        if len(self._known) > KNOWN_CHUNKS:
-            self._known.clear()
-            self._odd.clear()
-            new = list(set(chunks))
+    def _keep(self, chunk: str, ids: bytes) -> None:
+        if len(self._young) >= KNOWN_CHUNKS or self._young_bytes >= KNOWN_BYTES:
+            self._old, self._young, self._young_bytes = self._young, {}, 0
+        self._young[chunk] = ids
+        self._young_bytes += len(chunk) + len(ids)
+
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of the chunks; those not yet known are encoded in one multithreaded call and held against SentencePiece.
+
+        The ids are this backend's own; where SentencePiece has others the chunk is counted as differing.
+        """
+        out: dict[str, bytes] = {}
+        new = []
+        for c in chunks:
+            if (ids := self._young.get(c)) is not None:
+                out[c] = ids
+            elif (ids := self._old.pop(c, None)) is not None:
+                out[c] = ids
+                self._keep(c, ids)
+            else:
+                new.append(c)
         lead = MARK if self.spec.dummy_prefix or self.split else ""
         for at in range(0, len(new), 5_000):
             part = new[at : at + 5_000]
             mine = [e.ids for e in self.tokenizer.encode_batch_fast([lead + c for c in part], add_special_tokens=False)]
             truth = self._judge.encode(part, num_threads=1) if self._judge is not None and self._comparable else mine
             for c, ids, other in zip(part, mine, truth, strict=True):
+                out[c] = packed = array("i", ids).tobytes()
+                self._keep(c, packed)
                 same = ids == other or not c
-                ids = ids if same else other
-                self._known[c] = array("i", ids).tobytes()
                 surface = self._surface(ids)
                 if not same or surface != (lead + c).replace(MARK, " "):
                     self._odd[c] = surface, same
+        return out
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, str, int | None]]:
+        """(ids as little-endian 32-bit integers, decoded text, parity difference) of each text.
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str, int]]:
-        """(ids as little-endian 32-bit integers, decoded text, chunks that differed from SentencePiece) of each text."""
-        cut = [(self._chunks(t) if self.split else [t]) if t else [] for t in map(self.normalise, texts)]
+        The difference is the number of chunks whose ids are not SentencePiece's; where chunks alone cannot be compared, whole
+        texts are, and it is 0 or 1; without verification it is None.
+        """
+        clear = [self.normalise(t) for t in texts]
+        cut = [(self._chunks(t) if self.split else [t]) if t else [] for t in clear]
         out = []
         lead = " " if self.spec.dummy_prefix or self.split else ""
         for at in range(0, len(cut), 64):
             part = cut[at : at + 64]
-            self.learn([c for chunks in part for c in chunks])
-            for chunks in part:
-                odd = [self._odd[c] for c in chunks if c in self._odd] if self._odd else []
+            if len(self._odd) > KNOWN_CHUNKS:
+                # Odd chunks are few in any language the model knows; beyond the bound all is learnt anew.
+                self._odd.clear()
+                self._old.clear()
+                self._young.clear()
+                self._young_bytes = 0
+            known = self.learn(set().union(*part))
+            for k, chunks in enumerate(part):
+                odd = not self._odd.keys().isdisjoint(chunks)
                 if odd:
                     surface = "".join([self._odd[c][0] if c in self._odd else lead + c.replace(MARK, " ") for c in chunks])
                 else:
-                    surface = (lead + lead.join(chunks)).replace(MARK, " ") if chunks else ""
+                    surface = lead + clear[at + k] if chunks else ""
                 first = self.spec.dummy_prefix and surface.startswith(" ")
-                out.append((b"".join([self._known[c] for c in chunks]), surface[1:] if first else surface, sum(not same for _, same in odd)))
+                ids = b"".join(map(known.__getitem__, chunks))
+                diff = sum(c in self._odd and not self._odd[c][1] for c in chunks) if odd else 0
+                if self._judge is None:
+                    diff = None
+                elif not self._comparable:
+                    diff = int(array("i", self._judge.encode(texts[at + k])).tobytes() != ids)
+                out.append((ids, surface[1:] if first else surface, diff))
         return out
 
 
