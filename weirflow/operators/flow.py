@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.operators import rewrite, sessions
+from weirflow.operators import parse, rewrite, sessions
 from weirflow.sources.store import Store
 
 
@@ -36,6 +36,23 @@ def plan(store: Store, session_id: str, items: DataFrame, root: str, fingerprint
     return digest
 
 
+def sound(applied: DataFrame) -> DataFrame:
+    """`rewrite.apply`'s rows; a file whose new text has a lexical error keeps its text and is `unparsable`."""
+    fresh = applied.where("status = 'applied'").select("path", F.col("rewritten").alias("raw"))
+    broken = parse.diagnostics(fresh).where("kind = 'error'").select("path", F.lit(True).alias("_broken"))
+    joined = applied.join(broken, "path", "left")
+    bad = F.coalesce("_broken", F.lit(False))
+    return joined.withColumns({"rewritten": F.when(bad, F.col("raw")).otherwise(F.col("rewritten")), "status": F.when(bad, "unparsable").otherwise(F.col("status"))}).drop("_broken")
+
+
+def dry_run(files: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_hash, rule_id, stage, path, status, diff) of a plan's items: will_apply, noop, blocked or errors; nothing is written."""
+    done = sound(rewrite.apply(files, items.where("not blocked")))
+    shown = items.join(rewrite.file_diffs(done), "path", "left")
+    status = F.when(F.col("blocked"), "blocked").when(F.col("status") == "applied", "will_apply").when(F.col("status") == "noop", "noop").otherwise("errors")
+    return shown.select("item_hash", "rule_id", "stage", "path", status.alias("status"), F.coalesce("diff", F.lit("")).alias("diff"), "ordinal").orderBy("ordinal").drop("ordinal")
+
+
 def approve(store: Store, session_id: str) -> None:
     sessions.move(store, session_id, "approved", "APPROVE")
 
@@ -43,7 +60,8 @@ def approve(store: Store, session_id: str) -> None:
 def apply(store: Store, session_id: str, files: DataFrame, root: str, path: str, out: str | None = None) -> DataFrame:
     """Apply the session's plan, in place with `.orig` backups or into `out`; a plan of another hash is refused.
 
-    Applying again when the session is done changes nothing. Returns (path, status).
+    Applying again when the session is done changes nothing, and items whose hash this plan has applied are passed over. A file
+    that would not parse after its edits is left as it is. Returns (path, status).
     """
     items, digest = rewrite.read_plan(store.spark, path)
     if digest != known_hash(store, session_id):
@@ -51,7 +69,9 @@ def apply(store: Store, session_id: str, files: DataFrame, root: str, path: str,
     if sessions.state(store, session_id) == "done":
         return items.select("path").distinct().withColumn("status", F.lit("noop"))
     sessions.check(sessions.state(store, session_id), "applied")
-    done = rewrite.apply(files, items.where("not blocked")).cache()
+    before = store.items(digest).where("state = 'applied'").select("item_hash").distinct()
+    items = items.join(before, "item_hash", "left_anti")
+    done = sound(rewrite.apply(files, items.where("not blocked"))).cache()
     for row in done.where("status = 'applied'").toLocalIterator():
         source = Path(root) / row.path
         target = Path(out) / row.path if out else source

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import subprocess
+from datetime import datetime, timezone
+from typing import TextIO
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,3 +68,32 @@ def envelope(kind: str, body: DataFrame) -> DataFrame:
     """One row (json): {"items": [...], "schema": "weirflow.<kind>.v1", "v": 1}, items in order of their JSON."""
     items = body.select(F.to_json(F.struct(*sorted(body.columns)), {"ignoreNullFields": "false"}).alias("j")).agg(F.array_sort(F.collect_list("j")).alias("j"))
     return items.select(F.concat(F.lit('{"items":['), F.array_join("j", ","), F.lit(f'],"schema":"weirflow.{kind}.v1","v":1}}')).alias("json"))
+
+
+def repo_id(root: str) -> str | None:
+    """The short commit id of a project under git; None where there is none, or git does not answer in five seconds."""
+    try:
+        said = subprocess.run(["git", "-C", root, "rev-parse", "--short", "HEAD"], capture_output=True, text=True, timeout=5, env={"PATH": "/usr/local/bin:/usr/bin:/bin"})
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return said.stdout.strip() or None if said.returncode == 0 else None
+
+
+def checked_at() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def artifact(out: TextIO, kind: str, head: dict, lists: dict[str, DataFrame]) -> None:
+    """Write a JSON object of `head` and the rows of each list, in their order, to `out`.
+
+    Rows are fetched a partition at a time, so the driver never holds a list whole.
+    """
+    fields = {"schema": f"weirflow.{kind}.v1", "version": 1} | head
+    out.write("{" + ",".join(f"{json.dumps(k)}:{json.dumps(v, ensure_ascii=False)}" for k, v in fields.items()))
+    for name, rows in lists.items():
+        out.write(f",{json.dumps(name)}:[")
+        each = rows.select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("j"))
+        for i, row in enumerate(each.toLocalIterator()):
+            out.write("," * bool(i) + row.j)
+        out.write("]")
+    out.write("}\n")

@@ -78,12 +78,22 @@ def _first_select(toks: list[Token]) -> int | None:
     return next((i for i, t in enumerate(toks) if t.is_("SELECT") and t.depth == 0), None)
 
 
+def _until_unmatched(toks: list[Token]) -> Iterator[Token]:
+    """The tokens up to a semicolon, or a bracket that closes none of theirs."""
+    opened = 0
+    for t in toks:
+        opened += (t.value in ("(", "[")) - (t.value in (")", "]"))
+        if opened < 0 or t.value == ";":
+            return
+        yield t
+
+
 def _items(toks: list[Token]) -> list[list[Token]]:
     """Items of the first SELECT at depth 0."""
     at = _first_select(toks)
     out: list[list[Token]] = [[]]
-    for t in toks[at + 1 :] if at is not None else []:
-        if t.depth == 0 and (t.is_(*_ENDS) or t.value in (";", ")")):
+    for t in _until_unmatched(toks[at + 1 :] if at is not None else []):
+        if t.depth == 0 and t.is_(*_ENDS):
             break
         if t.depth == 0 and t.value == ",":
             out.append([])
@@ -97,9 +107,9 @@ def _from_items(toks: list[Token]) -> list[list[Token]]:
     at = next((i for i, t in enumerate(toks) if t.is_("FROM") and t.depth == 0), None)
     out: list[list[Token]] = [[]]
     on = False
-    for t in toks[at + 1 :] if at is not None else []:
+    for t in _until_unmatched(toks[at + 1 :] if at is not None else []):
         if t.depth == 0:
-            if t.is_(*_ENDS[1:]) or t.value in (";", ")"):
+            if t.is_(*_ENDS[1:]):
                 break
             if t.value == "," or t.is_("JOIN"):
                 out.append([])
