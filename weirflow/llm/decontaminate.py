@@ -34,8 +34,8 @@ BLOCK = 8
 SHINGLE = 5
 #: Postings summed at a time.
 POSTINGS = 1 << 21
-#: Bound of the index that is sent to the executors; more test text than this is refused.
-INDEX_BYTES = 256 << 20
+#: Test text, in bytes, that one index holds; more is searched index by index, so what is sent along stays bounded.
+INDEX_BYTES = 32 << 20
 U64 = np.uint64
 
 
@@ -120,7 +120,9 @@ class ItemIndex:
         self.first = np.append(first, len(rows)).astype(np.int64)
         self.block = np.array([r[1] for r in rows], np.int64)
         self.bound = np.array([r[2] for r in rows])
+        # Anchors: the five-word shingles of an item, or all of its words if it has fewer.
         self.shingles = [{tuple(w[i : i + SHINGLE]) for w in [q + a] for i in range(max(1, len(w) - SHINGLE + 1))} for _, q, a in self.items]
+        self.reach = [min(SHINGLE, len(q) + len(a)) for _, q, a in self.items]
 
     def passages(self, h: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(row, first cell, block) of passages whose block bound reaches the threshold; h are hashes of normal words."""
@@ -173,7 +175,8 @@ class ItemIndex:
     def verify(self, item: int, words: list[bytes]) -> tuple[float, float]:
         """Shares of the question's and the answer's words found in order."""
         _, q, a = self.items[item]
-        if not any(tuple(words[i : i + SHINGLE]) in self.shingles[item] for i in range(max(1, len(words) - SHINGLE + 1))):
+        n = self.reach[item]
+        if not any(tuple(words[i : i + n]) in self.shingles[item] for i in range(max(1, len(words) - n + 1))):
             return 0.0, 0.0
         whole = q + a
         found = np.zeros(len(whole), bool)
@@ -200,21 +203,29 @@ class ItemIndex:
         return [best[k] for k in sorted(best)]
 
 
-def read_items(benchmark: DataFrame, text_col: str = "text") -> list[tuple[int | None, str, str]]:
-    """(item_id, question, answer) of the test items; null and empty texts are left out, every text of a repeated or null id is kept."""
-    names = set(benchmark.columns)
-    cols = ["question", "answer"] if {"question", "answer"} <= names else [text_col]
-    size = benchmark.agg(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in cols))).first()[0] or 0
-    if size > INDEX_BYTES:
-        raise ValueError(f"{size} bytes of test items; the index is bounded to {INDEX_BYTES}")
+def _items_of(rows: list[tuple]) -> list[tuple[int | None, str, str]]:
     out: dict[tuple, None] = {}
-    for i, *text in sorted(map(tuple, benchmark.select("item_id", *cols).collect()), key=lambda r: (r[0] is None, r[0] or 0, [x or "" for x in r[1:]])):
+    for i, *text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, [x or "" for x in r[1:]])):
         q, a = (x or "" for x in text) if len(text) == 2 else split_item(text[0] or "")
         if normal_words(q + " " + a):
             out[i, q, a] = None
     return list(out)
 
 
+def indexes(benchmark: DataFrame, text_col: str = "text", part_bytes: int = INDEX_BYTES) -> Iterator[ItemIndex]:
+    """Indexes of all test items, each over `part_bytes` of their text or about that, one after another.
+
+    Null and empty texts are left out; every text of a repeated or null id is kept. Equal texts come into the same index.
+    """
+    names = set(benchmark.columns)
+    cols = ["question", "answer"] if {"question", "answer"} <= names else [text_col]
+    size = benchmark.agg(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in cols))).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
+    part = F.pmod(F.xxhash64(*(F.lower(c) for c in cols)), F.lit(parts))
+    for k in range(parts):
+        yield ItemIndex(_items_of([tuple(r) for r in benchmark.where(part == k).select("item_id", *cols).toLocalIterator()]))
+
+
 _HIT = "doc_id long, item_id long, passage_start long, score double, question_overlap double, answer_overlap double"
 _HIT_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passage_start", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
@@ -231,33 +242,53 @@ def _hits(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, list]]:
                 yield a + r, found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, part_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row per document and test item found in it: (doc_id, item_id, passage_start in words, score, overlaps).
 
-    Null and empty texts, an empty table or no items give no rows; a null id is kept; rows that repeat are searched each.
+    Null and empty texts, an empty table or no items give no rows; a null id is kept; rows that repeat are searched each. Test text
+    beyond `part_bytes` is cut into several indexes, for each of which the texts are searched once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(read_items(benchmark)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def searched(index: ItemIndex) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in batches:
+                ids = batch.column(0)
+                rows = [dict(zip(_HIT_ARROW.names, (ids[r].as_py(), item, lo, s, q, a), strict=True)) for r, found in _hits(index, batch.column(1)) for i, lo, s, q, a in found for item in index.items[i][0]]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, _HIT_ARROW)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            ids = batch.column(0)
-            rows = [dict(zip(_HIT_ARROW.names, (ids[r].as_py(), item, lo, s, q, a), strict=True)) for r, found in _hits(index, batch.column(1)) for i, lo, s, q, a in found for item in index.items[i][0]]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, _HIT_ARROW)
+        return texts.mapInArrow(run, _HIT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _HIT)
+    found = [searched(index) for index in indexes(benchmark, part_bytes=part_bytes)]
+    out = found[0]
+    for one in found[1:]:
+        out = out.union(one)
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, part_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of `docs` in which no test item is found, with all their columns.
+
+    Null and empty texts stay, as do all rows if there are no items; repeated rows are judged each. Columns are passed on by their
+    place, whatever their names.
+    """
 
+    def kept(rows: DataFrame, index: ItemIndex) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` in which no test item is found, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(read_items(benchmark)))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[r for r, _ in _hits(index, batch.column("text"))]] = False
+                yield batch.filter(pa.array(keep))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            keep[[r for r, _ in _hits(index, batch.column("text"))]] = False
-            yield batch.filter(pa.array(keep))
+        return rows.mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    for index in indexes(benchmark, part_bytes=part_bytes):
+        docs = kept(docs, index)
+    return docs
