@@ -123,6 +123,24 @@ ORACLE_SQL = {
              case when n > 1 and least is not null and page_id is distinct from least then 'revisit' else 'response' end as record_type,
              case when n > 1 and least is not null and page_id is distinct from least then least end as refers_to
       from b""",
+    "op5_substring_dedup": r"""
+      with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+      win as (select doc_id, i, sha1(array_to_string(ws[i:i + 49], ' ')) as h from (select *, unnest(range(1, len(ws) - 48)) as i from w)),
+      first as (select h, min(doc_id) as least from win group by h),
+      hit as (select doc_id, i from win join first using (h) where least < doc_id),
+      gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from hit),
+      word as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from w),
+      kept as (select word.doc_id, string_agg(word, ' ' order by p) as text, count(*) as n from word anti join gone using (doc_id, p) group by 1)
+      select w.doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256 from w left join kept using (doc_id)""",
+    "op7_ngram_jaccard": rf"""
+      with recursive w as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as ws from documents),
+      s as materialized (select distinct doc_id, sha1(array_to_string(sh, ' ') || len(sh)) as h from (select doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: ws[i:i + 4]) when len(ws) > 0 then [ws] else [] end) as sh from w)),
+      size as materialized (select doc_id, count(*) as n from s group by 1),
+      pair as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b using (h) where a.doc_id < b.doc_id group by 1, 2),
+      link as materialized (select a, b from pair join size x on x.doc_id = a join size y on y.doc_id = b where 100 * common >= 80 * (x.n + y.n - common)),
+      both_ways as materialized (select a, b from link union all select b, a from link),
+      reach(id, c) as (select doc_id, doc_id from documents union select b, c from reach join both_ways on a = id where b > c)
+      select w.doc_id, coalesce(n, 0) as n_shingles, least from w left join size using (doc_id) join (select id as doc_id, min(c) as least from reach group by 1) using (doc_id)""".replace("n_shingles, least from w", "n_shingles, least as component_id from w"),
     "op10_url_filters": f"""
       with rest as (select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
       cut as (select page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) as raw_host from rest),
