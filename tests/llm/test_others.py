@@ -229,3 +229,100 @@ def test_entry_without_this_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'severity_histogram' in q and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"})
+
+
+def _letters(spark):
+    """Texts in which e-mail addresses and phone numbers stand in fixed surroundings, some of them in forms no base pattern has."""
+    rows = []
+    for i in range(60):
+        word = "lorem ipsum dolor sit amet".split()[i % 5]
+        rows.append((i, f"{word} number {i * 37 % 91}: please write to user{i}@host{i % 7}.org for details, or call me on +49 30 555{i:04d} today {word}"))
+    rows.append((100, "ipsum: please write to jane.doe at example dot org for details, thanks"))
+    rows.append((101, "dolor: or call me on 030 555 12345 today then"))
+    rows.append((102, "the total of 12345678 was at the end dot com era 1234 5678 9012"))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_pii_bootstrap_finds_unseen_forms(spark):
+    docs = _letters(spark)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    found = {r.doc_id: r for r in pii.spans(docs).select("doc_id", "base", "all_spans").collect()}
+    cut = lambda d, spans: [text[d][s.start : s.end] for s in spans]
+    assert cut(0, found[0].base) == ["user0@host0.org", "+49 30 5550000"]
+    assert cut(100, found[100].all_spans) == ["jane.doe at example dot org"] and not found[100].base
+    assert cut(101, found[101].all_spans) == ["030 555 12345"]
+    assert found[102].all_spans == []
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[100] == "ipsum: please write to <email> for details, thanks" and clean[101] == "dolor: or call me on <phone> today then"
+
+
+def test_pii_held_out_seeds_come_back(spark):
+    got = {r.kind: (r.hidden, r.found) for r in pii.held_out_recall(_letters(spark)).collect()}
+    hidden, back = (sum(x) for x in zip(*got.values(), strict=True))
+    assert hidden >= 15 and back >= 0.9 * hidden
+
+
+def test_redaction_of_long_texts_and_clashing_columns(spark):
+    import random
+
+    rng = random.Random(3)
+    parts = [rng.choice(["x" * rng.randrange(1, 9000), "öä🙂 " * rng.randrange(1, 900)]) for _ in range(30)]
+    whole = " a.b@c.org ".join(parts) + " +49 30 1234567"
+    rows = [(1, whole, 7, 8, 9), (1, "q@r.st", 1, 2, 3), (2, None, 4, 5, 6), (None, "q@r.st", 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text int, _digest int, `a.b` int")
+    got = {(r.doc_id, r._text): tuple(r) for r in pii.redact(docs).collect()}
+    assert got[1, 7] == (1, " <email> ".join(parts) + " <phone>", 7, 8, 9)
+    assert got[1, 1] == (1, "<email>", 1, 2, 3) and got[2, 4][1] is None and got[None, 0][1] == "<email>"
+    assert len(got) == 4
+
+
+def test_decontamination_of_many_parts_and_short_items(spark):
+    docs = spark.createDataFrame([(1, "well then " * 20 + "colourless green ideas" + " sleep furiously now" * 20), (2, "the answer to it all is forty two, they say, and no less " * 3), (3, "nothing here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"filler item number {i} about topic {i * 7919 % 101} and {i * 31 % 97}") for i in range(50)] + [(100, "colourless green ideas"), (101, "the answer to it all is forty two")], "item_id long, text string")
+    want = {(1, 100), (2, 101)}
+    for part_bytes in (1 << 20, 200):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, part_bytes).collect()} == want
+        assert [r.doc_id for r in decontaminate.clean(docs, bench, part_bytes).collect()] == [3]
+
+
+def test_hot_payloads_hosts_and_plain_sessions(spark):
+    from weirflow.llm import storage
+
+    pages = spark.createDataFrame([(i, f"https://www.example.com/{'en/' if i % 2 else ''}{i}" if i % 3 else "no scheme", "same" if i % 2 else f"own {i}") for i in range(3000)], "page_id long, url string, html string")
+    index = warc.write_archives(pages)
+    read = {r.page_id: r for r in warc.read_records(index).collect()}
+    assert len(read) == 3000 and read[1].record_type == "response"
+    assert all((read[i].record_type, read[i].refers_to) == ("revisit", 1) for i in range(3, 3000, 2))
+    assert all(read[i].record_type == "response" for i in range(0, 3000, 2))
+    rules = spark.createDataFrame([("com", "/", "allow"), ("www.example.com", "/en/", "block"), ("net", "/", "block")], "host string, path string, action string")
+    old, url_rules.SWEEP_ROWS = url_rules.SWEEP_ROWS, 100
+    try:
+        got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge(pages, rules).collect()}
+    finally:
+        url_rules.SWEEP_ROWS = old
+    for i in range(3000):
+        assert got[i] == ((None, "allow") if i % 3 == 0 else ("www.example.com/en/", "block") if i % 2 else ("com/", "allow"))
+    rows = spark.range(6000).selectExpr("if(id % 2 = 0, -1L, id) as k", "id", "1 as `_word`")
+    classes = rows.groupBy("k").count().withColumnRenamed("count", "n").where("n > 1")
+    joined = storage.with_class(rows, classes, ["k"], "n")
+    assert joined.count() == 6000 and joined.where("n = 3000").count() == 3000
+    kept = storage.keep_possible(rows, "id", spark.range(10, 20), "id")
+    assert {r.id for r in kept.collect()} >= set(range(10, 20)) and kept.columns == rows.columns and kept.where("_word <> 1").count() == 0
+    assert storage.shared_dir(spark)
+
+
+def test_order_with_ids_far_apart(spark):
+    """Most ids near each other, some far away: ranges hold about equal numbers of rows, and each row meets its next one."""
+    ids = [*range(9000), 1 << 62, -(1 << 62), (1 << 62) + 5]
+    docs = spark.createDataFrame([(i, f"text number {i} of the lot and {i % 17}") for i in ids], "doc_id long, text string").repartition(5)
+    old, spots.BUCKET_ROWS = spots.BUCKET_ROWS, 100
+    try:
+        rows = {r.doc_id: r for r in spots.compare_in_order(docs).collect()}
+    finally:
+        spots.BUCKET_ROWS = old
+    text = {r.doc_id: r.text for r in docs.collect()}
+    order = sorted(ids)
+    assert len(rows) == len(ids)
+    for here, after in zip(order, [*order[1:], order[0]], strict=True):
+        t, half = text[here], len(text[here]) // 2
+        assert rows[here].edited_sha256 == hashlib.sha256((t[: len(t) - half] + text[after][:half]).encode()).hexdigest()

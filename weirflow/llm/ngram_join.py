@@ -48,6 +48,8 @@ _TOP = BANDS[1:] - 1
 SEGMENTS = 2 * _TOP // 9 + 1 + -(-_TOP // 50) + 2
 COARSE = (_TOP // 4) // 2 + 1
 PARITY_WORDS = 8
+#: Members of a group that one task holds against the whole group.
+GROUP_ROWS = 4096
 
 
 def parities(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -318,8 +320,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     packed = texts.mapInArrow(_index_rows(n), "bucket int, kind int, n int, blob binary")
     met = storage.materialise(packed.groupBy("bucket").applyInArrow(_meet, _GROUPED), "ngram-groups")
     rows = met.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("h1"), F.col("d").alias("h2"), "parity")
-    least = rows.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    rows = storage.materialise(rows.join(least, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "parity"), "ngram-rows")
+    full, same = rows.where("n_shingles > 0"), ["h1", "h2", "n_shingles"]
+    least = storage.materialise(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "ngram-copies")
+    # Sets without a copy, and empty ones, which link with nothing, stand for themselves.
+    known = storage.with_class(full, least, same, "copies").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "parity")
+    rows = storage.materialise(known.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), "parity")), "ngram-rows")
     node = rows.where("doc_id = rep").groupBy(F.col("rep").alias("node")).agg(F.max_by(F.struct("n_shingles", "parity"), "n_shingles").alias("s"))
     node = node.select("node", F.col("s.n_shingles").alias("n"), *(F.col("s.parity")[i].alias(f"p{i}") for i in range(PARITY_WORDS)))
     members = (
@@ -339,8 +344,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_ = members.join(labels, "node", "left").select("g", "node", "probe", F.coalesce("component", "node").alias("c"))
     split = open_.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
     open_ = open_.join(split, "g").join(node, "node")
-    other = open_.select("g", *(F.col(c).alias(f"{c}_") for c in open_.columns if c != "g"))
-    rest = open_.join(other, "g").where(F.expr("node > node_ and c <> c_ and probe + probe_ > 0") & _within()).select(F.col("node").alias("a"), F.col("node_").alias("b"), "c", "c_", _differ().alias("differ")).distinct()
+    # A group's members are compared block by block, each block in a task of its own: a segment that very many unlike sets share is
+    # no single task's work, and only pairs within the bounds leave it.
+    size = open_.groupBy("g").agg(F.count("*").alias("size")).select("g", F.ceil(F.col("size") / GROUP_ROWS).cast("int").alias("blocks"))
+    open_ = open_.join(size, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = open_.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_") for c in open_.columns if c not in ("g", "block", "blocks")))
+    rest = open_.join(other, ["g", "block"]).where(F.expr("node > node_ and c <> c_ and probe + probe_ > 0") & _within()).select(F.col("node").alias("a"), F.col("node_").alias("b"), "c", "c_", _differ().alias("differ")).distinct()
     rest = storage.materialise(rest, "ngram-rest")
     sides = rest.select("a", "b", "differ", F.col("a").alias("x"), F.col("c_").alias("to")).union(rest.select("a", "b", "differ", "b", "c"))
     near = storage.materialise(sides.groupBy("x", "to").agg(F.min_by(F.struct("a", "b"), F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "ngram-near")

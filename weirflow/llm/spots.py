@@ -143,17 +143,23 @@ def compare_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Fingerprints of each text and of its edited text, and their likenesses; one row per row of `docs`.
 
     The next document is the next in order of (id, text), null ids last; after the last comes the first. Null texts are empty.
-    Ids are dealt into ranges of equal width; the first row of a range is copied to the end of the range before it, so each
-    row meets its next one in its own range and texts move once. An empty table gives no rows.
+    Ids are dealt into ranges of about equal numbers of rows: cells of equal width, each cut again between its own least and
+    greatest id by its count, so that an id far from the others costs a cell and no more. The first row of a range is copied to the
+    end of the range before it, so each row meets its next one in its own range and texts move once. Rows are walked in sorted
+    order, so a range need not fit in memory. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     low, high = (0, 0) if low is None else (low, high)
-    buckets = min(MOST_BUCKETS, max(1, n // BUCKET_ROWS))
-    width = (high - low) // buckets + 1
-    bucket = F.coalesce(F.floor((F.col("doc_id").cast("decimal(38,0)") - low) / width).cast("int"), F.lit(buckets))
-    rows = rows.withColumn("bucket", bucket)
-    # At most MOST_BUCKETS + 2 rows of three numbers: a proven bound for one task and the broadcast.
+    cells = min(MOST_BUCKETS, max(1, n // BUCKET_ROWS))
+    width = (high - low) // cells + 1
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    rows = rows.withColumn("cell", F.coalesce(F.floor((wide("doc_id") - low) / width).cast("int"), F.lit(cells)))
+    # At most MOST_BUCKETS + 1 cells and twice as many ranges, of a few numbers each: a proven bound for one task and the broadcasts.
+    cut = rows.groupBy("cell").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.greatest(F.lit(1), F.floor(F.count("*") / max(BUCKET_ROWS, n // MOST_BUCKETS))).alias("k"))
+    cut = cut.select("cell", "lo", (wide("hi") - wide("lo") + 1).alias("span"), "k", (F.sum("k").over(Window.orderBy("cell")) - F.col("k")).alias("start"))
+    inside = F.floor((wide("doc_id") - wide("lo")) * F.col("k") / F.col("span")).cast("int")
+    rows = rows.join(F.broadcast(cut), "cell").withColumn("bucket", (F.col("start") + F.coalesce(inside, F.lit(0))).cast("int")).select("doc_id", "text", "bucket")
     firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("first"))
     order = Window.orderBy("bucket")
     firsts = firsts.withColumn("before", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())))

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -84,11 +84,29 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return [mark + n for n in names]
 
 
-def keep_possible(df: DataFrame, key: str, ids: DataFrame, id_col: str, max_bits: int = 1 << 26, negate: bool = False) -> DataFrame:
-    """Rows of `df` whose key may be in `ids`, by a bitmap of bounded size; an exact join must follow. Negated: the others.
+#: Keys with more rows than this, and more than a HOT_KEYS-th of all, are joined by broadcast: there are HOT_KEYS of them at most.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
+
+
+def with_class(rows: DataFrame, classes: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """`rows` left-joined with `classes`, which has one row a key and in `count` the number of `rows` of that key.
+
+    Rows of hot keys, of which there are few by their definition, get theirs from a broadcast and are never dealt by key, so a
+    key that holds a third of all rows is no heavier than another.
+    """
+    total = classes.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > max(HOT_ROWS, total // HOT_KEYS)
+    few = F.broadcast(classes.where(hot))
+    there = rows.join(few, keys, "inner")
+    others = rows.join(few.select(*keys), keys, "left_anti").join(classes.where(~hot), keys, "left")
+    return there.unionByName(others)
+
+
+def possibly(df: DataFrame, key: Column, ids: DataFrame, id_col: str, name: str, max_bits: int = 1 << 26) -> DataFrame:
+    """`df` with the column `name`: false where `key` is surely not in `ids`, by a bitmap of bounded size.
 
     The bitmap has 16 bits an id, at most `max_bits` (8 MB at the default), so it can be broadcast at any size of
-    `ids`; beyond that it only lets more rows through.
+    `ids`; beyond that it only says true more often.
     """
     n = ids.count()
     size = 1 << 10
@@ -103,6 +121,13 @@ def keep_possible(df: DataFrame, key: str, ids: DataFrame, id_col: str, max_bits
         .groupBy(word)
         .agg(F.bit_or(F.call_function("shiftleft", F.col("one"), F.col("bit"))).alias(bits))
     )
-    flagged = df.withColumn(word, place(F.col(key))).join(F.broadcast(bitmap), word, "left" if negate else "inner")
-    has = F.call_function("shiftrightunsigned", F.col(bits), bit(F.col(key))).bitwiseAND(F.lit(1).cast("long")) == 1
-    return flagged.where(~F.coalesce(has, F.lit(False)) if negate else has).drop(word, bits)
+    flagged = df.withColumn(word, place(key)).join(F.broadcast(bitmap), word, "left")
+    has = F.call_function("shiftrightunsigned", F.col(bits), bit(key)).bitwiseAND(F.lit(1).cast("long")) == 1
+    return flagged.withColumn(name, F.coalesce(has, F.lit(False))).drop(word, bits)
+
+
+def keep_possible(df: DataFrame, key: str, ids: DataFrame, id_col: str, negate: bool = False) -> DataFrame:
+    """Rows of `df` whose key may be in `ids`, see `possibly`; an exact join must follow. Negated: the others."""
+    (name,) = unused(df, "maybe")
+    flagged = possibly(df, F.col(key), ids, id_col, name)
+    return flagged.where(~F.col(name) if negate else F.col(name)).drop(name)

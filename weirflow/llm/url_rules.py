@@ -6,7 +6,7 @@ that are as short as the rules' hosts. Points and interval ends of one reversed
 prefixes are nested or apart, the active rules form a stack, and the sweep carries its top: a start pushes its rule, an end
 gives back the rule below. The longest rule over a URL's suffixes wins.
 
-A host with a great share of the rows is dealt over `SALTS` sweeps; each gets a copy of that host's few interval ends.
+A host with many points is dealt over as many sweeps as its count asks for; each gets a copy of that host's interval ends.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ import string
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 32
+from weirflow.llm import storage
+
+#: Points of one reversed host that a sweep should have.
+SWEEP_ROWS = 1 << 18
 
 
 def split_url(url):
@@ -65,7 +68,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: s
     """
     host, path = split_url(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    events = _events(rules)
+    events = storage.materialise(_events(rules), "url-events")
     labels = F.split("host", "\\.")
     deepest = rules.agg(F.max(F.size(F.split("host", "\\.")))).first()[0] or 0
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size("labels"), F.lit(deepest))), lambda n: _reversed(F.slice("labels", -n, n)))
@@ -75,12 +78,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: s
         .agg(F.count("*").alias("_n"))
         .withColumn("labels", labels)
         .select("host", "path", F.explode(suffixes if deepest else F.array().cast("array<string>")).alias("key"))
-        .join(events.select("key").distinct(), "key", "left_semi")
     )
+    counted = points.groupBy("key").agg(F.count("*").alias("n")).join(events.select("key").distinct(), "key")
+    sweeps = storage.materialise(counted.select("key", "n", (F.floor(F.col("n") / SWEEP_ROWS) + 1).alias("sweeps")), "url-sweeps")
+    points = storage.with_class(points, sweeps, ["key"], "n").where("n is not null")
     top_type = events.schema["active"].dataType.simpleString()
-    points = points.select("key", F.col("path").cast("binary").alias("pos"), F.lit(2).alias("kind"), F.lit(None).cast(top_type).alias("active"), "host", "path", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).alias("salt"))
-    dealt = events.withColumns({"host": F.lit(None).cast("string"), "path": F.lit(None).cast("string"), "salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))})
+    points = points.select("key", F.col("path").cast("binary").alias("pos"), F.lit(2).alias("kind"), F.lit(None).cast(top_type).alias("active"), "host", "path", F.pmod(F.xxhash64("host", "path"), F.col("sweeps")).alias("salt"))
+    dealt = events.join(sweeps.select("key", "sweeps"), "key").withColumns({"host": F.lit(None).cast("string"), "path": F.lit(None).cast("string"), "salt": F.explode(F.sequence(F.lit(0).cast("long"), F.col("sweeps") - 1))}).drop("sweeps")
     sweep = Window.partitionBy("key", "salt").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = points.unionByName(dealt).withColumn("active", F.last("active", ignorenulls=True).over(sweep)).where("kind = 2 and active.rule is not null")
     best = swept.groupBy("host", "path").agg(F.max_by(F.struct("active.rule", "active.action"), F.struct(F.length("active.rule"), F.col("active.host_length"))).alias("top"))
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.action", F.lit(default)).alias("verdict"))
+    judged = urls.where("host <> ''").join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.action", F.lit(default)).alias("verdict"))
+    # URLs without a host fit no rule, and would all share one key.
+    return judged.union(urls.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string"), F.lit(default)))

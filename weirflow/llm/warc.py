@@ -29,7 +29,8 @@ ARCHIVE_BYTES = 64 << 20
 #: Ranges this close are read together, up to RANGE_BYTES at once.
 GAP_BYTES = 64 << 10
 RANGE_BYTES = 8 << 20
-SALTS = 16
+#: Archive bytes that a reading task should have.
+TASK_BYTES = 64 << 20
 LEAST_REVISIT_BYTES = 0
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -52,8 +53,9 @@ def _line(value: str) -> str:
     return urllib.parse.quote(value, safe="".join(map(chr, range(33, 127)))) if any(ord(c) < 33 or ord(c) > 126 for c in value) else value
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str, size: int) -> bytes:
+    """One gzip member; a revisit's `payload` is not written, only its `size`."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = {
         "WARC-Type": "revisit" if revisit else "response",
@@ -65,7 +67,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         "WARC-Refers-To": _record_id(refers_to, digest) if revisit else None,
         "X-Refers-To-Page": refers_to if revisit else None,
         "X-Page": page_id,
-        "X-Payload-Length": len(payload),
+        "X-Payload-Length": size,
         "Content-Type": "application/http;msgtype=response",
         "Content-Length": len(block),
     }
@@ -97,18 +99,18 @@ def _writer(folder: str, archive_bytes: int, date: str):
         try:
             for batch in batches:
                 rows = []
-                for page, url, html, sha1, least in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                for page, url, html, sha1, size, least in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                     if out is None or at >= archive_bytes:
                         if out is not None:
                             out.close()
                         name = f"{path}/{task.partitionId():05d}-{task.taskAttemptId()}-{made:04d}.warc.gz"
                         out, at, made = system.open_output_stream(name, compression=None), 0, made + 1
-                    payload = html.encode()
                     digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                     revisit = least is not None and page != least
-                    member = record(page, url, payload, digest, least, revisit, date)
+                    payload = b"" if revisit else html.encode()
+                    member = record(page, url, payload, digest, least, revisit, date, size)
                     out.write(member)
-                    rows.append({"page_id": page, "url": url, "digest": digest, "payload_bytes": len(payload), "record_type": "revisit" if revisit else "response", "file": name, "offset": at, "length": len(member)})
+                    rows.append({"page_id": page, "url": url, "digest": digest, "payload_bytes": size, "record_type": "revisit" if revisit else "response", "file": name, "offset": at, "length": len(member)})
                     at += len(member)
                 yield pa.RecordBatch.from_pylist(rows, _INDEX_ARROW)
         finally:
@@ -122,19 +124,22 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     """Write a record per row of `pages` (page_id, url, html) and return the index, itself a table in the shared folder.
 
     Payloads are the html in UTF-8, null as empty. Of equal payloads of `least_bytes` or more, the one of the smallest id is the
-    response (each of them, where an id repeats; of null ids all, if there are no others) and the others revisit it. Hot
-    payloads are dealt over `SALTS` keys. An empty table gives an empty index.
+    response (each of them, where an id repeats; of null ids all, if there are no others) and the others revisit it. Digests
+    meet first; only pages with a payload that others may have are dealt by it, and a hot payload's not even then. An empty table
+    gives an empty index.
     """
     spark = pages.sparkSession
     folder = folder or storage.scratch_path(spark, "warc")
     system, path = file_system(folder)
     system.create_dir(path, recursive=True)
     html = F.coalesce("html", F.lit(""))
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    many = keyed.where(F.octet_length("html") >= least_bytes).groupBy("sha1").agg(F.count("*").alias("n"), F.min("page_id").alias("least")).where("n > 1 and least is not null")
-    many = many.select("sha1", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = salted.join(many, ["sha1", "salt"], "left").select("page_id", "url", "html", "sha1", "least")
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha1")).withColumn("size", F.octet_length("html").cast("long"))
+    many = keyed.where(F.col("size") >= least_bytes).groupBy("sha1").agg(F.count("*").alias("n"), F.min("page_id").alias("least")).where("n > 1 and least is not null")
+    many = storage.materialise(many, "warc-copies")
+    marked = storage.possibly(keyed, F.col("sha1"), many.select("sha1"), "sha1", "shared")
+    alone = marked.where("not shared").select("page_id", "url", "html", "sha1", "size", F.lit(None).cast("long").alias("least"))
+    copies = marked.where("shared").drop("shared")
+    rows = alone.unionByName(storage.with_class(copies, many, ["sha1"], "n").drop("n"))
     return storage.materialise(rows.mapInArrow(_writer(folder, archive_bytes, date), _INDEX), "warc-index")
 
 
@@ -176,7 +181,8 @@ def _reader(folder: str, with_payload: bool):
 def read_records(index: DataFrame, folder: str | None = None, with_payload: bool = False) -> DataFrame:
     """The records of the given index rows, one row each; select rows of the index to read only those.
 
-    A revisit's payload is null: it is that of the page it refers to. Digests are those of the full payloads.
+    A revisit's payload is null: it is that of the page it refers to. Digests are those of the full payloads. The number of reading
+    tasks follows the bytes of the archives, not those of the index.
     """
     folder = folder or "file:///"
     by_offset = Window.partitionBy("file").orderBy("offset")
@@ -185,4 +191,7 @@ def read_records(index: DataFrame, folder: str | None = None, with_payload: bool
     ranged = index.select("file", "offset", "length").withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(by_offset.rowsBetween(Window.unboundedPreceding, 0)))
     block = F.floor(F.col("offset") / RANGE_BYTES)
     ranges = ranged.groupBy("file", "run", block.alias("block")).agg(F.min("offset").alias("low"), F.max(end).alias("high"), F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("parts"))
-    return ranges.select("file", "low", "high", "parts").mapInArrow(_reader(folder, with_payload), _READ + (", payload binary" if with_payload else ""))
+    spark = index.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, (index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES)
+    dealt = ranges.select("file", "low", "high", "parts").repartition(int(tasks), "file", "low").sortWithinPartitions("file", "low")
+    return dealt.mapInArrow(_reader(folder, with_payload), _READ + (", payload binary" if with_payload else ""))
