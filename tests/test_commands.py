@@ -104,3 +104,59 @@ def test_a_cte_in_a_template_or_in_quotes_is_read():
     for raw in ("with base as (select 1) select {{ star(base) }} from t", 'with base as (select 1) select 1 from "BASE"', "with base as (select 1) select 1 from {{ base }}"):
         assert rewrite.analyse_text(raw, {}, rule) == []
     assert len(rewrite.analyse_text("with base as (select {{ base }}) select 'base' from t", {}, rule)) == 1
+
+
+def test_example_plugin_packs_and_table_function(spark):
+    from pathlib import Path
+
+    from weirflow.operators import plugins, security
+
+    said = []
+    rules = plugins.load(str(Path(__file__).parents[1] / "examples/plugins"), said.append)
+    assert not said and rewrite.analyse_text("select 1;", {}, {"EX-001": rules["EX-001"]})[0].before == ";"
+    spark.udtf.register("rewrite_rules", rewrite.table_function({"REF-002": rewrite.RULES["REF-002"]}))
+    spark.createDataFrame([("a", "select sku, n, sku from bins"), ("b", "select sku from bins")], "path string, raw string").createOrReplaceTempView("udtf_files")
+    got = spark.sql("select path, rule_id, before from udtf_files, lateral rewrite_rules(raw)").collect()
+    assert [tuple(r) for r in got] == [("a", "REF-002", ", sku")]
+
+    class Point:
+        def __init__(self, name, rules):
+            self.name, self.rules = name, rules
+
+        def load(self):
+            return dict(self.rules)
+
+    todo = {"PACK-1": (lambda text: security.occurrences(text, "TODO", "low"), False), "SEC-001": None}
+    packs = plugins.packs(said.append, [Point("a", todo), Point("b", 7)])
+    assert list(packs) == ["PACK-1"] and len(said) == 2
+    files_ = spark.createDataFrame([("x.py", "py", "a = 1\n# TODO later")], "path string, ext string, content string")
+    found = security.scan(files_, ["PACK-1"], catalog=packs).first()
+    assert (found.rule_id, found.line, found.col, found.hint) == ("PACK-1", 2, 3, None)
+
+
+def test_http_client():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from weirflow.operators import suggestions
+
+    class Model(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            body = json.dumps({"response": json.dumps([{"path": asked["prompt"]}]) if asked["prompt"] else ""}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = suggestions.http_client(f"http://127.0.0.1:{server.server_port}/api", "m", 5)
+    assert suggestions.request(client, "a.sql") == [{"path": "a.sql"}]
+    with pytest.raises(suggestions.Unavailable):
+        client("")
+    server.shutdown()
+    with pytest.raises(suggestions.Unavailable):
+        suggestions.http_client("http://127.0.0.1:9/api", "m", 1)("x")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import importlib.metadata
 import importlib.util
 from collections.abc import Callable
 from pathlib import Path
 
-from weirflow.operators import rewrite
+from weirflow.operators import rewrite, security
+
+#: Entry-point group of security rule packs.
+PACKS = "weirflow.security_rules"
 
 
 def _rule(value) -> bool:
@@ -54,3 +58,24 @@ def load(folder: str, warn: Callable[[str], None] = lambda message: None) -> dic
         return run
 
     return rewrite.RULES | {k: (found[k].tier, adapt(found[k])) for k in sorted(found)}
+
+
+def packs(warn: Callable[[str], None] = lambda message: None, points=None) -> dict[str, tuple]:
+    """Security rules of installed packs, for `security.scan(..., catalog=...)`.
+
+    A pack is an entry point of the group `PACKS` that loads to {rule id: (content column -> array of matches, SQL files only)}.
+    Packs that fail to load and ids that are taken are warned about and left out.
+    """
+    found: dict[str, tuple] = {}
+    for point in sorted(importlib.metadata.entry_points(group=PACKS) if points is None else points, key=lambda p: p.name):
+        try:
+            rules = dict(point.load())
+        except Exception as error:  # a pack may fail in any way
+            warn(f"{point.name}: {error}")
+            continue
+        for name in sorted(rules):
+            if name in security.RULES or name in found:
+                warn(f"{point.name}: rule {name} is defined twice")
+            else:
+                found[name] = rules[name]
+    return found

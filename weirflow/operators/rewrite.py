@@ -308,6 +308,21 @@ def candidates(stages: DataFrame, rule_ids: list[str] | None = None, most_tier:
     return rows.mapInPandas(run, _CANDIDATE)
 
 
+def table_function(rules: dict[str, tuple[str, Rule]] | None = None):
+    """The rules as a Python table function, (raw) to rows of (rule_id, tier, start, end, before, after, reason).
+
+    Register it with `spark.udtf.register(name, ...)` and join it laterally: `from files, lateral name(files.raw)`.
+    """
+    chosen = rules or RULES
+
+    @F.udtf(returnType="rule_id string, tier string, start int, end int, before string, after string, reason string")
+    class Rules:
+        def eval(self, raw: str):
+            yield from (tuple(e) for e in analyse_text(raw or "", {}, chosen))
+
+    return Rules
+
+
 def disjoint(found: DataFrame) -> DataFrame:
     """Candidates without overlaps in a file: in order of start, length and rule the first wins."""
     return sweep.disjoint(found, ("path",), ["start", F.col("end") - F.col("start"), "rule_id"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.request
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -14,6 +15,27 @@ MOST = 50
 FIELDS = "path string, start int, end int, before string, after string, confidence double, rationale string"
 
 
+class Unavailable(Exception):
+    """The model's server could not be asked, or said nothing."""
+
+
+def http_client(url: str, model: str, timeout: float = 60.0, field: str = "response") -> Callable[[str], str]:
+    """A client for `request`: posts {model, prompt, stream, format} as JSON to `url` and returns the answer's text `field`."""
+
+    def ask(text: str) -> str:
+        body = json.dumps({"model": model, "prompt": text, "stream": False, "format": "json"}).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as answer:
+                said = json.load(answer).get(field)
+        except (OSError, ValueError, AttributeError) as error:
+            raise Unavailable(f"{url}: {error}") from error
+        if not isinstance(said, str) or not said.strip():
+            raise Unavailable(f"{url}: an empty answer")
+        return said
+
+    return ask
+
+
 def prompt(stages: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """One row (prompt): the files in order of path, and spans that must not be touched."""
     files = stages.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "raw"))), lambda s: F.concat(F.lit("--- "), s["path"], F.lit("\n"), s["raw"])), "\n").alias("files"))
