@@ -130,3 +130,36 @@ def test_training_ignores_row_order_and_repeated_ids(spark):
     twice = docs.union(docs.where("doc_id < 20").withColumn("text", F.concat("text", F.lit(" later"))))
     one = quality.fit(twice, labels)
     assert np.array_equal(one, quality.fit(twice.repartition(7, "text"), labels.repartition(3)))
+
+
+def brute_quality(weights, text):
+    """The score by the plain rules: tokens, then a pair for each, repetitions apart, one sum."""
+    import math
+    import re
+
+    from weirflow.llm import textops as tx
+
+    size = quality.SLOTS
+    h = [tx.hash_word(t) for t in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+", text.encode())]
+    total = 0.0
+    for i, x in enumerate(h):
+        if i == len(h) - 1:
+            pair = x ^ 0x5851F42D4C957F2D
+        elif h[i + 1] == x:
+            pair = 0xE7037ED1A0B428DB
+        elif i + 2 < len(h) and h[i + 2] == x:
+            pair = 0xA0761D6478BD642F
+        else:
+            pair = int(tx.mix(np.array([(x * 0x9E3779B97F4A7C15 + h[i + 1]) & (1 << 64) - 1], np.uint64))[0])
+        total += weights[x % size] + weights[pair % size]
+    margin = quality.SCALE * total / max(1, 2 * len(h)) + weights[-1]
+    return 1 / (1 + math.exp(-min(35, max(-35, margin))))
+
+
+def test_quality_score_by_the_plain_rules():
+    rng = random.Random(8)
+    weights = np.random.default_rng(8).normal(size=quality.SLOTS + 1)
+    texts = ["", "a", "a a", "a b a", "Ünï cöde!! ok", "x\x7fy\tz", "one, two; (three) -- four"]
+    texts += [" ".join(rng.choice(["a", "b", "c!", "DD", "é", "7%"]) for _ in range(rng.randrange(30))) for _ in range(80)]
+    got = quality.score(weights, *_flat(texts))
+    assert np.allclose(got, [brute_quality(weights, t) for t in texts], atol=1e-12)

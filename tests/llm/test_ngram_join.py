@@ -88,3 +88,20 @@ def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (20, 21), (30, 30), (None, 1)] + [(100 + i, 101 + i) for i in range(40)], "a long, b long")
     got = {r.node: r.component for r in graph.components(edges, "a", "b").collect()}
     assert {got[i] for i in (3, 4, 5, 9)} == {3} and got[21] == 20 and got[140] == 100 and 30 not in got and 1 not in got
+
+
+def test_a_passage_that_many_unlike_texts_share(spark, monkeypatch):
+    """Texts with one passage in common, of a few sizes, most of them unlike: groups are cut into blocks and lose no link."""
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 8)
+    rng = random.Random(12)
+    word = lambda: f"q{rng.randrange(100_000)}"
+    passage = [word() for _ in range(40)]
+    rows = []
+    for i in range(140):
+        own = [word() for _ in range(rng.choice([12, 14, 30]))]
+        rows.append((i, " ".join(passage + own)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join([*passage, *own[:-1], word()])))
+    rows += [(2000 + i, "" if i % 2 else None) for i in range(60)] + [(3000 + i, rows[0][1]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {tuple(r) for r in ngram_join.jaccard_components(docs).collect()} == brute(sorted(rows))

@@ -58,3 +58,43 @@ def test_canonical_and_windows():
     assert w.off.tolist() == [0, 2, 2, 2, 3, 3]
     x = np.random.default_rng(0).integers(0, 100, 57).astype(np.uint64)
     assert sd._sliding_min(x, 9).tolist() == [int(x[i : i + 9].min()) for i in range(49)]
+
+
+def test_a_phrase_in_very_many_contexts(spark, monkeypatch):
+    """Half of the texts hold one phrase whose pieces have the least hashes; its windows are spread and counted all the same."""
+    rng = random.Random(9)
+    words = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    phrase = min((words(8) for _ in range(300)), key=lambda p: _least(" ".join(p)))
+    shared = words(40) + phrase + words(20)
+    rows = []
+    for i in range(160):
+        w = words(60)
+        if i % 2:
+            w[30:30] = phrase
+        if i % 16 == 3:
+            w += shared
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(sd, "HOT_STRINGS", 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    hot = sd.hot_slots(docs)
+    assert hot is not None and hot.sum() < 50
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in sd.repeated_passages(docs).collect())
+    assert got == brute(rows) and sum(r[2] > 0 for r in got) == 9
+    many = lambda slots: np.unique(np.concatenate([_minimisers(t, slots) for _, t in rows]), return_counts=True)[1].max()
+    assert many(hot) < many(None) / 4
+
+
+def _minimisers(text, hot=None):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return sd.super_kmers(tx.words_of(raw, np.array([0, len(raw)])), hot)[3]
+
+
+def _least(phrase):
+    h = [np.uint64(tx.hash_word(x)) for x in phrase.split()]
+    out = []
+    for i in range(len(h) - sd.PIECE + 1):
+        acc = np.zeros(1, np.uint64)
+        for x in h[i : i + sd.PIECE]:
+            acc = acc * np.uint64(0xD6E8FEB86659FD93) + x
+        out.append(int(tx.mix(acc)[0]))
+    return min(out)

@@ -6,6 +6,10 @@ so equal windows always meet, and a word is sent about three times instead of fi
 and equal hashes are compared as strings, which gives each window its least document id exactly. A second
 pass over the texts looks its super-k-mers up among those with repeated windows and removes the covered words.
 
+A phrase with a small hash that stands in very many different contexts would send all of them to one bucket. So minimisers are
+first counted over all texts, and pieces whose slot is hot come last in the order of pieces: a window takes another minimiser
+wherever it has one. The order is the same everywhere, so equal windows still meet, and results do not depend on it.
+
 A passage that very many documents share gives the same packed strings everywhere: each task sends such a string once,
 with the least and greatest id it has seen, so a hot passage costs one string a task.
 """
@@ -32,6 +36,8 @@ BUCKET_BYTES = 1 << 20
 FLUSH_BYTES = 24 << 20
 SENT_STRINGS = 1 << 19
 BITS = 1 << 26
+#: Slots, by leading bits, in which minimisers are counted; a slot is hot with so many strings, and so many times the mean.
+SLOT_BITS, HOT_STRINGS, HOT_TIMES = 16, 1 << 16, 8
 U64 = np.uint64
 #: Stands for a null id: later than every document.
 LAST = np.iinfo(np.int64).max
@@ -67,13 +73,16 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def super_kmers(w: tx.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word, number of windows, minimiser) of each super-k-mer."""
+def super_kmers(w: tx.Words, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, number of windows, minimiser) of each super-k-mer; pieces in the `hot` slots come last in their order."""
     h = tx.span_hashes(w.buf, w.starts, w.ends)
     acc = np.zeros(max(0, len(h) - PIECE + 1), U64)
     for i in range(PIECE):
         acc = acc * U64(0xD6E8FEB86659FD93) + h[i : i + len(acc)]
-    least = _sliding_min(tx.mix(acc), WINDOW - PIECE + 1)
+    order = tx.mix(acc)
+    if hot is not None:
+        order = (order >> U64(1)) | (hot[(order >> U64(64 - SLOT_BITS)).astype(np.int64)].astype(U64) << U64(63))
+    least = _sliding_min(order, WINDOW - PIECE + 1)
     count = np.maximum(np.diff(w.off) - WINDOW + 1, 0)
     row = np.repeat(np.arange(len(count)), count)
     at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + w.off[:-1][row]
@@ -82,6 +91,26 @@ def super_kmers(w: tx.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return row[head], at[head], np.diff(np.append(head, len(row))), value[head]
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, number of super-k-mers) of the texts."""
+    count = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        for _, _, buf, offsets in tx.text_parts(batch.column(0)):
+            value = super_kmers(tx.words_of(buf, offsets))[3]
+            count += np.bincount((value >> U64(64 - SLOT_BITS)).astype(np.int64), minlength=len(count))
+    some = np.flatnonzero(count)
+    yield pa.RecordBatch.from_pydict({"slot": pa.array(some, pa.int64()), "n": pa.array(count[some], pa.int64())})
+
+
+def hot_slots(texts: DataFrame) -> np.ndarray | None:
+    """Which slots of minimisers are hot over all texts, None if none is; at most 2**SLOT_BITS numbers come to the driver."""
+    found = texts.select("text").mapInArrow(_tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    count = np.zeros(1 << SLOT_BITS, np.int64)
+    count[found["slot"].to_numpy()] = found["n"].to_numpy()
+    hot = count > max(HOT_STRINGS, HOT_TIMES * count.sum() >> SLOT_BITS)
+    return hot if hot.any() else None
+
+
 def _spans(w: tx.Words, first: np.ndarray, windows: np.ndarray) -> tuple[list[int], list[int]]:
     return w.starts[first].tolist(), w.ends[first + windows - 1 + WINDOW - 1].tolist()
 
@@ -89,11 +118,11 @@ def _spans(w: tx.Words, first: np.ndarray, windows: np.ndarray) -> tuple[list[in
 _PACKED = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
 
 
-def _send(buckets: int):
+def _send(buckets: int, slots):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
         sent: dict[bytes, int] = {}
-        size = 0
+        size, hot = 0, slots.value
         squeeze = zstandard.ZstdCompressor(level=3)
 
         def flush():
@@ -120,7 +149,7 @@ def _send(buckets: int):
             ids = np.asarray(batch.column(0).fill_null(LAST), np.int64)
             for a, _, buf, offsets in tx.text_parts(batch.column(1)):
                 text, w = canonical(buf, offsets)
-                row, first, windows, value = super_kmers(w)
+                row, first, windows, value = super_kmers(w, hot)
                 for d, s, e, v in zip(ids[a + row].tolist(), *_spans(w, first, windows), value.tolist(), strict=True):
                     piece = text[s:e]
                     if (old := held.get(piece)) is not None:
@@ -228,11 +257,11 @@ _SEEN = "doc_id long, row long, n_words long, kept_sha256 string, text string, a
 _SEEN_ARROW = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("at", pa.list_(pa.int32())), ("digest", pa.list_(pa.binary()))])
 
 
-def _look_up(bitmap):
+def _look_up(bitmap, slots):
     """A document without a repeated super-k-mer is done; the others keep their text and the places to look up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        bits, hot = bitmap.value, slots.value
         mask = len(bits) * 64 - 1
         bits = bits.tolist() if len(bits) < 4096 else bits
         next_row = TaskContext.get().partitionId() << 40
@@ -240,7 +269,7 @@ def _look_up(bitmap):
             ids = batch.column(0)
             for a, b, buf, offsets in tx.text_parts(batch.column(1)):
                 text, w = canonical(buf, offsets)
-                row, first, windows, _ = super_kmers(w)
+                row, first, windows, _ = super_kmers(w, hot)
                 spans = _spans(w, first, windows)
                 hits: dict[int, tuple[list[int], list[bytes]]] = {}
                 for r, f, s, e in zip(row.tolist(), first.tolist(), *spans, strict=True):
@@ -305,9 +334,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = storage.buckets_for(texts, BUCKET_BYTES)
-    runs = storage.materialise(texts.mapInArrow(_send(n), "bucket int, n int, blob binary").groupBy("bucket").applyInArrow(_count, _RUN_SQL), "passage-runs")
+    slots = spark.sparkContext.broadcast(hot_slots(texts))
+    runs = storage.materialise(texts.mapInArrow(_send(n, slots), "bucket int, n int, blob binary").groupBy("bucket").applyInArrow(_count, _RUN_SQL), "passage-runs")
     bitmap = spark.sparkContext.broadcast(_bitmap(runs))
-    seen = storage.materialise(texts.mapInArrow(_look_up(bitmap), _SEEN), "passage-rows")
+    seen = storage.materialise(texts.mapInArrow(_look_up(bitmap, slots), _SEEN), "passage-rows")
     places = seen.where("text is not null").select("row", "doc_id", F.explode(F.arrays_zip("at", "digest")).alias("p")).select("row", "doc_id", F.col("p.at").alias("start"), F.col("p.digest").alias("digest"))
     gone = (
         places.join(runs.drop("k"), "digest")
