@@ -160,3 +160,25 @@ def test_http_client():
     server.shutdown()
     with pytest.raises(suggestions.Unavailable):
         suggestions.http_client("http://127.0.0.1:9/api", "m", 1)("x")
+
+
+def test_restore_point(spark, tmp_path, capsys):
+    root, store = tmp_path / "m", f"file://{tmp_path}/st"
+    (root / "sub").mkdir(parents=True)
+    (root / "sub/a.sql").write_text("select ID from T")
+    common = ["--store", store, "--session", "s"]
+    plan = ["--plan", str(tmp_path / "p.json")]
+    assert cli.main(["restore", str(root), *common]) == 2
+    assert cli.main(["plan", str(root), *common, *plan, "--max-risk", "safe"]) == 0
+    assert cli.main(["approve", str(root), *common]) == 0
+    assert cli.main(["apply", str(root), *common, *plan]) == 0
+    assert (root / "sub/a.sql").read_text() == "select id from t"
+    capsys.readouterr()
+    assert cli.main(["restore", str(root), *common]) == 0
+    assert capsys.readouterr().out == "sub/a.sql\n" and (root / "sub/a.sql").read_text() == "select ID from T"
+
+
+def test_run_events(spark):
+    log = spark.createDataFrame([(1, 0, "snapshot_ok", "READY"), (1, 1, "dispatch", "RUNNING"), (1, 2, "all_succeeded", "SUCCEEDED"), (1, 3, "resume", "RUNNING"), (2, 0, "dispatch", "RUNNING")], "run long, n int, event string, after string")
+    got = {(r.run, r.n): r.valid for r in history.check_events(log, history.RUN_MOVES, "CREATED", "run", ["n"]).collect()}
+    assert got == {(1, 0): True, (1, 1): True, (1, 2): True, (1, 3): False, (2, 0): False}

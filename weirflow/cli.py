@@ -20,7 +20,7 @@ from weirflow.sources.store import Store
 
 VERSION = "0.2.0"
 MOST_STAGES = 10_000
-COMMANDS = ("parse", "inspect", "lineage", "drift", "diff", "scan", "rewrite", "plan", "approve", "dry-run", "apply", "verify", "session", "history", "audit", "kpi", "export")
+COMMANDS = ("parse", "inspect", "lineage", "drift", "diff", "scan", "rewrite", "plan", "approve", "dry-run", "apply", "verify", "restore", "session", "history", "audit", "kpi", "export")
 _SEVERITIES = ["low", "medium", "high", "critical"]
 
 
@@ -52,7 +52,7 @@ def _arguments() -> argparse.ArgumentParser:
             one.add_argument("--fail-on-severity", default="high", choices=["none", *_SEVERITIES])
             one.add_argument("--max-findings", type=int, default=security.MOST_FINDINGS)
             one.add_argument("--max-bytes", type=int, default=files.MOST_BYTES)
-        if name in ("plan", "approve", "dry-run", "apply", "verify", "session"):
+        if name in ("plan", "approve", "dry-run", "apply", "verify", "restore", "session"):
             one.add_argument("--session", required=True)
         if name in ("plan", "dry-run", "apply"):
             one.add_argument("--plan", default="plan.json")
@@ -271,17 +271,19 @@ def _run(args: argparse.Namespace, keep) -> int:
     if not Path(args.root).is_dir():
         raise Refused(2, "no_input", f"{args.root} is not a folder")
     spark = session.create()
-    needs_store = args.command in ("plan", "approve", "dry-run", "apply", "verify", "session", "audit", "kpi", "export")
+    needs_store = args.command in ("plan", "approve", "dry-run", "apply", "verify", "restore", "session", "audit", "kpi", "export")
     if needs_store and (not args.store or args.no_persist):
         raise Refused(2, "state_error", f"{args.command} needs --store, and to write to it")
     store = Store(spark, args.store) if args.store and not args.no_persist else None
     say = Printer(args)
     if args.command in ("history", "audit", "session", "kpi", "export"):
         return _store_command(args, spark, store, say)
-    if args.command in ("approve", "apply", "dry-run"):
+    if args.command in ("approve", "apply", "dry-run", "restore"):
         try:
             if args.command == "approve":
                 flow.approve(store, args.session)
+            elif args.command == "restore":
+                print(*flow.restore(store, args.session, args.root), sep="\n")
             elif args.command == "dry-run":
                 return _dry_run(args, spark, store, say, keep)
             else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 from pathlib import Path
 
@@ -12,6 +14,10 @@ from weirflow.operators import parse, rewrite, sessions
 from weirflow.sources.store import Store
 
 
+#: Restore points, by plan, beside the project.
+RESTORE = ".weirflow/restore"
+
+
 def _remember(store: Store, session_id: str, state: str, plan_hash: str) -> None:
     row = store.spark.range(1).select(F.lit(session_id).alias("session_id"), F.lit(state).alias("state"), F.lit(plan_hash).alias("plan_hash"), F.current_timestamp().alias("updated_at"))
     store.append("sessions", row)
@@ -72,8 +78,11 @@ def apply(store: Store, session_id: str, files: DataFrame, root: str, path: str,
     before = store.items(digest).where("state = 'applied'").select("item_hash").distinct()
     items = items.join(before, "item_hash", "left_anti")
     done = sound(rewrite.apply(files, items.where("not blocked"))).cache()
+    kept = Path(root) / RESTORE / digest.rpartition(":")[2][:16]
     for row in done.where("status = 'applied'").toLocalIterator():
         source = Path(root) / row.path
+        if not out:
+            _remember_file(kept, row.path, row.raw)
         target = Path(out) / row.path if out else source
         target.parent.mkdir(parents=True, exist_ok=True)
         if not out:
@@ -88,6 +97,43 @@ def apply(store: Store, session_id: str, files: DataFrame, root: str, path: str,
     return done.select("path", "status")
 
 
+def _remember_file(kept: Path, path: str, raw: str) -> None:
+    """Keep a file as it was before its first edit by this plan, and name it in the restore point's manifest."""
+    listed = kept / "manifest.json"
+    known = json.loads(listed.read_text(encoding="utf-8")) if listed.exists() else {}
+    if path not in known:
+        target = kept / "files" / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(raw, encoding="utf-8")
+        known[path] = hashlib.sha256(raw.encode()).hexdigest()
+        fresh = kept / "manifest.new"
+        fresh.write_text(json.dumps(known, sort_keys=True), encoding="utf-8")
+        os.replace(fresh, listed)
+
+
+def restore(store: Store, session_id: str, root: str) -> list[str]:
+    """Put back every file that the session's plan edited in place, in reverse order, and abort the session; returns their paths.
+
+    A kept file that no longer has its noted hash is refused before anything is written.
+    """
+    digest = known_hash(store, session_id) or ""
+    kept = Path(root) / RESTORE / digest.rpartition(":")[2][:16]
+    listed = kept / "manifest.json"
+    if not digest or not listed.exists():
+        raise ValueError("the session has no restore point")
+    known = json.loads(listed.read_text(encoding="utf-8"))
+    texts = {p: (kept / "files" / p).read_text(encoding="utf-8") for p in sorted(known, reverse=True)}
+    for path, raw in texts.items():
+        if hashlib.sha256(raw.encode()).hexdigest() != known[path]:
+            raise ValueError(f"the kept text of {path} has changed")
+    for path, raw in texts.items():
+        fresh = Path(root) / (path + ".new")
+        fresh.write_text(raw, encoding="utf-8")
+        os.replace(fresh, Path(root) / path)
+    sessions.move(store, session_id, "aborted", "RESTORE", args=root, result=str(len(texts)))
+    return list(texts)
+
+
 def verify(store: Store, session_id: str, problems: DataFrame) -> bool:
     """Without problems the session is verified and done; with some it goes back to `approved`."""
     clean = problems.isEmpty()

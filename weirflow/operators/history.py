@@ -88,6 +88,43 @@ def check_transitions(log: DataFrame, key: str, by: list[str], state: str, allow
     return moves.join(ok, ["before", state], "left").withColumn("valid", F.coalesce("_ok", F.lit(False)) | (F.col("before") == F.col(state))).drop("_ok")
 
 
+# The moves of a run and of a stage, as state and event to the next state.
+RUN_MOVES = {
+    ("CREATED", "snapshot_ok"): "READY",
+    ("CREATED", "snapshot_failed"): "FAILED",
+    ("READY", "dispatch"): "RUNNING",
+    ("RUNNING", "stage_fatal"): "FAILED",
+    ("RUNNING", "all_succeeded"): "SUCCEEDED",
+    ("RUNNING", "interrupt"): "SUSPENDED",
+    ("RUNNING", "budget_exhausted"): "ABORTED",
+    ("RUNNING", "abort"): "ABORTED",
+    ("SUSPENDED", "resume"): "RUNNING",
+    ("SUSPENDED", "abort"): "ABORTED",
+}
+STAGE_MOVES = {
+    ("PENDING", "start"): "RUNNING",
+    ("PENDING", "skip"): "SKIPPED",
+    ("PENDING", "block"): "BLOCKED",
+    ("RUNNING", "complete"): "SUCCEEDED",
+    ("RUNNING", "fail_retryable"): "FAILED",
+    ("RUNNING", "fail_fatal"): "FAILED",
+    ("RUNNING", "interrupt"): "INTERRUPTED",
+    ("FAILED", "retry_ok"): "RUNNING",
+    ("INTERRUPTED", "retry_ok"): "RUNNING",
+}
+
+
+def check_events(log: DataFrame, moves: dict[tuple[str, str], str], first: str, key: str, by: list[str]) -> DataFrame:
+    """(key, by..., event, before, after, valid) of a log of events with the state after each: is it the move from the state before?
+
+    The state before the first event of a key is `first`. The moves are a small table of constants.
+    """
+    table = log.sparkSession.createDataFrame([(a, e, b) for (a, e), b in moves.items()], "before string, event string, _to string")
+    seen = log.withColumn("before", F.coalesce(F.lag("after").over(Window.partitionBy(key).orderBy(*by)), F.lit(first)))
+    joined = seen.join(F.broadcast(table), ["before", "event"], "left")
+    return joined.select(key, *by, "event", "before", "after", F.coalesce(F.col("_to") == F.col("after"), F.lit(False)).alias("valid"))
+
+
 def once(rows: DataFrame, key: str) -> DataFrame:
     return rows.dropDuplicates([key])
 

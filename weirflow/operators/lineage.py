@@ -68,6 +68,17 @@ def downstream(edges: DataFrame, start: DataFrame, most_depth: int = 32) -> Data
     return seen
 
 
+def affected(edges: DataFrame, start: DataFrame, drifts: DataFrame, most_depth: int = 32) -> DataFrame:
+    """(depth, producer, consumer, breaking): the edges downstream of `start` (node), and whether a breaking drift lies on each.
+
+    The depth is the least number of steps to the edge's consumer over that edge.
+    """
+    reached = downstream(edges, start, most_depth)
+    along = edges.select("producer", "consumer").distinct().join(reached, F.col("producer") == F.col("node")).select((F.col("depth") + 1).alias("depth"), "producer", "consumer")
+    found = drifts.groupBy("producer", "consumer").agg(F.bool_or("breaking").alias("breaking"))
+    return along.join(found, ["producer", "consumer"], "left").select("depth", "producer", "consumer", F.coalesce("breaking", F.lit(False)).alias("breaking"))
+
+
 def shortest_route(edges: DataFrame, source: str, target: str, most_depth: int = 32) -> DataFrame:
     """(route, depth): a shortest route, of several the first in order of its names."""
     spark = edges.sparkSession

@@ -164,3 +164,14 @@ def incremental_changed_files(t):
 def kpi_set(t):
     runs = t.orders.select(F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("breaking"), (F.col("o_orderkey") % 3).alias("drifts"))
     return history.kpis(runs, _findings(t), t.lineitem.select((F.col("l_returnflag") == "R").alias("breaking")))
+
+
+_EVENT = "case event_type when 'signup' then 'start' when 'view' then 'complete' when 'click' then 'fail_retryable' when 'purchase' then 'retry_ok' else 'interrupt' end"
+_AFTER = "case event_type when 'signup' then 'RUNNING' when 'view' then 'SUCCEEDED' when 'click' then 'FAILED' when 'purchase' then 'RUNNING' else 'INTERRUPTED' end"
+
+
+@query(f"select user_id, ts, event_id, event, before, after, ((before = 'PENDING' and event = 'start') or (before = 'RUNNING' and event in ('complete', 'fail_retryable', 'interrupt')) or (before in ('FAILED', 'INTERRUPTED') and event = 'retry_ok')) as valid from (select user_id, ts, event_id, event, after, coalesce(lag(after) over (partition by user_id order by ts, event_id), 'PENDING') as before from (select *, {_EVENT} as event, {_AFTER} as after from events))")
+def stage_event_check(t):
+    """Events as the log of stages: is each the move that the stage's state machine makes?"""
+    log = t.events.select("user_id", "ts", "event_id", F.expr(_EVENT).alias("event"), F.expr(_AFTER).alias("after"))
+    return history.check_events(log, history.STAGE_MOVES, "PENDING", "user_id", ["ts", "event_id"])

@@ -44,6 +44,14 @@ def downstream_closure(t):
     return lineage.downstream(_edges(t), t.spark.range(1).select(F.lit("region:1").alias("node")))
 
 
+@query(f"with recursive e as materialized {_FK}, w(node, depth) as (select 'region:1', 0 union all select consumer, depth + 1 from w join e on producer = node where depth < 31), r as (select node, min(depth) as depth from w group by node) select distinct r.depth + 1 as depth, producer, consumer, coalesce(consumer like 'order:%7' and producer like 'customer:%', false) as breaking from r join e on producer = node")
+def breaks_downstream(t):
+    """What breaks if region 1 changes; edges into orders whose key ends in 7 have a breaking drift, some others a harmless one."""
+    edges = _edges(t)
+    drifts = edges.where("producer like 'customer:%' and consumer like 'order:%'").select("producer", "consumer", F.col("consumer").endswith("7").alias("breaking"))
+    return lineage.affected(edges, t.spark.range(1).select(F.lit("region:1").alias("node")), drifts.where("breaking or consumer like '%3'"))
+
+
 @query(f"with recursive e as materialized {_FK}, w(node, route, depth) as (select 'region:1', 'region:1', 0 union all select consumer, route || ' -> ' || consumer, depth + 1 from w join e on producer = node where depth < 31) select min(route) as route, depth::int as depth from w where node = (select 'order:' || min(o_orderkey) from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where n_regionkey = 1) group by depth order by depth limit 1")
 def shortest_route(t):
     start = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).where("n_regionkey = 1").agg(F.min("o_orderkey")).first()[0]
