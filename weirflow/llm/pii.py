@@ -36,8 +36,8 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _NAME, _AT, _DOT = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+", r"(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)", r"(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20|\.)"
 CANDIDATES = {
     "token": (r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", "[0-9@]"),
-    "apart": (r"(?<![\w+.-])\(?[0-9]{2,6}+\)?(?:[\x20./-]\(?[0-9]{2,6}+\)?)++(?!\w)", r"[0-9][\x20./()-]"),
-    "spelt": (rf"(?<![A-Za-z0-9]){_NAME}{_AT}[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{1,63}}+)++", r"\bat\b"),
+    "apart": (r"(?<![\w+.-])\(?[0-9]{2,6}+\)?(?:[\x20./-]\(?[0-9]{2,6}+\)?)++(?!\w)", r"[0-9]{2}\)?[\x20./-]\(?[0-9]{2}"),
+    "spelt": (rf"(?<![A-Za-z0-9]){_NAME}{_AT}[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{1,63}}+)++", rf"{_AT}[A-Za-z0-9-]{{1,63}}+{_DOT}[A-Za-z0-9-]"),
 }
 
 
