@@ -75,8 +75,9 @@ def apply(store: Store, session_id: str, files: DataFrame, root: str, path: str,
     if sessions.state(store, session_id) == "done":
         return items.select("path").distinct().withColumn("status", F.lit("noop"))
     sessions.check(sessions.state(store, session_id), "applied")
-    before = store.items(digest).where("state = 'applied'").select("item_hash").distinct()
-    items = items.join(before, "item_hash", "left_anti")
+    # Fetched now, as the table they are in is written to below; they are no more than the plan, which was read here.
+    before = [r.item_hash for r in store.items(digest).where("state = 'applied'").select("item_hash").distinct().collect()]
+    items = items.where(~F.col("item_hash").isin(before))
     done = sound(rewrite.apply(files, items.where("not blocked"))).cache()
     kept = Path(root) / RESTORE / digest.rpartition(":")[2][:16]
     for row in done.where("status = 'applied'").toLocalIterator():
