@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 
-from weirflow.llm import graph, ngram_join
+from weirflow.llm import graph, ngram_join, storage
 
 
 def shingle_set(text):
@@ -93,6 +93,8 @@ def test_components(spark):
 def test_a_passage_that_many_unlike_texts_share(spark, monkeypatch):
     """Texts with one passage in common, of a few sizes, most of them unlike: groups are cut into blocks and lose no link."""
     monkeypatch.setattr(ngram_join, "GROUP_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "PAIR_ROWS", 3)
+    monkeypatch.setattr(storage, "HOT_ROWS", 5)
     rng = random.Random(12)
     word = lambda: f"q{rng.randrange(100_000)}"
     passage = [word() for _ in range(40)]
@@ -102,6 +104,8 @@ def test_a_passage_that_many_unlike_texts_share(spark, monkeypatch):
         rows.append((i, " ".join(passage + own)))
         if i % 10 == 0:
             rows.append((1000 + i, " ".join([*passage, *own[:-1], word()])))
+    for i in range(40):
+        rows.append((500 + i, " ".join([*passage, *(f"same{k}" for k in range(30)), f"end{i}"])))
     rows += [(2000 + i, "" if i % 2 else None) for i in range(60)] + [(3000 + i, rows[0][1]) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert {tuple(r) for r in ngram_join.jaccard_components(docs).collect()} == brute(sorted(rows))

@@ -48,8 +48,8 @@ _TOP = BANDS[1:] - 1
 SEGMENTS = 2 * _TOP // 9 + 1 + -(-_TOP // 50) + 2
 COARSE = (_TOP // 4) // 2 + 1
 PARITY_WORDS = 8
-#: Members of a group that one task holds against the whole group.
-GROUP_ROWS = 4096
+#: Members of a group that one task holds against the whole group, and pairs of one leader that share a copy of its text.
+GROUP_ROWS, PAIR_ROWS = 4096, 1000
 
 
 def parities(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -282,10 +282,17 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Exact overlap of each pair (a, b) of document ids; `texts` is (doc_id, text)."""
+    """Exact overlap of each pair (a, b) of document ids; `texts` is (doc_id, text).
+
+    A `b` of very many pairs, the leader of a large group, has its text copied for every `PAIR_ROWS` of them, so that no task has them
+    all. `pairs` is read more than once.
+    """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     some = storage.keep_possible(texts.where("doc_id is not null"), "doc_id", ids, "id")
-    joined = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    sizes = pairs.groupBy("b").agg(F.count("*").alias("size")).withColumn("salts", F.floor(F.col("size") / PAIR_ROWS).cast("int") + 1)
+    salted = storage.with_class(pairs, sizes, ["b"], "size").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).select("a", "b", "salt")
+    copied = some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).join(sizes.select("b", "salts"), "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    joined = salted.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(copied, ["b", "salt"])
     return joined.select("a", "b", "ta", "tb").mapInArrow(_overlaps, "a long, b long, na long, nb long, common long")
 
 
@@ -300,8 +307,11 @@ def _within():
 
 
 def _possible(pairs: DataFrame, node: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps allow; a `b` of very many pairs comes to them by broadcast."""
     other = node.select(*(F.col(c).alias(f"{c}_") for c in node.columns))
-    return pairs.join(node, pairs["a"] == node["node"]).join(other, F.col("b") == F.col("node_")).where(_within()).select("a", "b")
+    leaders = pairs.groupBy("b").agg(F.count("*").alias("size")).join(other, F.col("b") == F.col("node_"))
+    members = pairs.join(node, pairs["a"] == node["node"])
+    return storage.with_class(members, leaders, ["b"], "size").where(_within()).select("a", "b")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -338,7 +348,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     degree = members.groupBy("node").agg(F.count("*").alias("degree"))
     leaders = members.join(degree, "node").groupBy("g").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("leader"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("g", "leader")
     members = storage.materialise(members.join(leaders, "g"), "ngram-members")
-    stars = _possible(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), node)
+    stars = _possible(storage.materialise(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "ngram-spokes"), node)
     links = storage.materialise(_linked(stars, texts), "ngram-stars")
     labels = components(links, "a", "b")
     open_ = members.join(labels, "node", "left").select("g", "node", "probe", F.coalesce("component", "node").alias("c"))
