@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import storage
 
-#: Points of one reversed host that a sweep should have.
-SWEEP_ROWS = 1 << 18
+#: Points of one reversed host that a sweep should have, and how many times the interval ends it gets a copy of.
+SWEEP_ROWS, SWEEP_TIMES = 1 << 10, 4
 
 
 def split_url(url):
@@ -79,8 +79,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: s
         .withColumn("labels", labels)
         .select("host", "path", F.explode(suffixes if deepest else F.array().cast("array<string>")).alias("key"))
     )
-    counted = points.groupBy("key").agg(F.count("*").alias("n")).join(events.select("key").distinct(), "key")
-    sweeps = storage.materialise(counted.select("key", "n", (F.floor(F.col("n") / SWEEP_ROWS) + 1).alias("sweeps")), "url-sweeps")
+    # Copies of interval ends stay under a share of the points, whatever the number of rules.
+    counted = points.groupBy("key").agg(F.count("*").alias("n")).join(events.groupBy("key").agg(F.count("*").alias("ends")), "key")
+    each = F.greatest(F.lit(SWEEP_ROWS), F.col("ends") * SWEEP_TIMES)
+    sweeps = storage.materialise(counted.select("key", "n", (F.floor(F.col("n") / each) + 1).alias("sweeps")), "url-sweeps")
     points = storage.with_class(points, sweeps, ["key"], "n").where("n is not null")
     top_type = events.schema["active"].dataType.simpleString()
     points = points.select("key", F.col("path").cast("binary").alias("pos"), F.lit(2).alias("kind"), F.lit(None).cast(top_type).alias("active"), "host", "path", F.pmod(F.xxhash64("host", "path"), F.col("sweeps")).alias("salt"))
