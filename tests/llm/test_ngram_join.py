@@ -109,3 +109,20 @@ def test_a_passage_that_many_unlike_texts_share(spark, monkeypatch):
     rows += [(2000 + i, "" if i % 2 else None) for i in range(60)] + [(3000 + i, rows[0][1]) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert {tuple(r) for r in ngram_join.jaccard_components(docs).collect()} == brute(sorted(rows))
+
+
+def test_components_of_small_graphs_cost_no_rounds(spark, monkeypatch):
+    """One task solves what fits it, without a round over the cluster; both ways agree, and links join components found before."""
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400 + i, 401 + i) for i in range(60)] + [(None, 2), (7, 7)], "a long, b long")
+    rounds = []
+    star = graph._star
+    monkeypatch.setattr(graph, "_star", lambda *x: rounds.append(1) or star(*x))
+    few = {tuple(r) for r in graph.components(edges, "a", "b").collect()}
+    assert not rounds
+    more = spark.createDataFrame([(460, 0), (900, 901), (901, 430)], "a long, b long")
+    both = {tuple(r) for r in graph.merged(graph.components(edges, "a", "b"), more, "a", "b").collect()}
+    monkeypatch.setattr(graph, "TASK_EDGES", 0)
+    assert few == {tuple(r) for r in graph.components(edges, "a", "b").collect()} and rounds
+    assert both == {tuple(r) for r in graph.components(edges.union(more), "a", "b").collect()}
+    assert graph.components(edges.limit(0), "a", "b").count() == 0

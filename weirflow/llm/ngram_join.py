@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import storage
 from weirflow.llm import textops as tx
-from weirflow.llm.graph import components
+from weirflow.llm.graph import components, merged
 
 SHINGLE_WORDS = 5
 #: Links have 9 * |x & y| >= 4 * (|x| + |y|), that is a similarity of 0.8.
@@ -318,6 +318,12 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return verify(storage.materialise(pairs, "ngram-pairs"), texts).where("9 * common >= 4 * (na + nb)").select("a", "b")
 
 
+def _more(labels: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """`labels` with the links among `pairs`, a materialised table."""
+    links = storage.materialise(verify(pairs, texts).where("9 * common >= 4 * (na + nb)").select("a", "b"), "ngram-links")
+    return labels if links.isEmpty() else merged(labels, links, "a", "b")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: (doc_id, n_shingles, component_id).
 
@@ -364,11 +370,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sides = rest.select("a", "b", "differ", F.col("a").alias("x"), F.col("c_").alias("to")).union(rest.select("a", "b", "differ", "b", "c"))
     near = storage.materialise(sides.groupBy("x", "to").agg(F.min_by(F.struct("a", "b"), F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "ngram-near")
     if not near.isEmpty():
-        links = storage.materialise(links.union(_linked(near, texts)), "ngram-links")
-        labels = components(links, "a", "b")
+        labels = _more(labels, near, texts)
         name = labels.select(F.col("node").alias("a"), F.col("component").alias("x"))
         left = rest.select("a", "b").join(near, ["a", "b"], "left_anti").join(name, "a", "left").join(name.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left")
         left = storage.materialise(left.where("coalesce(x, a) <> coalesce(y, b)").select("a", "b"), "ngram-left")
         if not left.isEmpty():
-            labels = components(storage.materialise(links.union(_linked(left, texts)), "ngram-links"), "a", "b")
+            labels = _more(labels, left, texts)
     return rows.join(labels, rows["rep"] == labels["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
