@@ -126,3 +126,30 @@ def test_components_of_small_graphs_cost_no_rounds(spark, monkeypatch):
     assert few == {tuple(r) for r in graph.components(edges, "a", "b").collect()} and rounds
     assert both == {tuple(r) for r in graph.components(edges.union(more), "a", "b").collect()}
     assert graph.components(edges.limit(0), "a", "b").count() == 0
+
+
+def test_long_unlike_texts_never_meet(spark, monkeypatch):
+    """Long texts with a passage in common fill the narrow bitmaps; wide ones keep unlike ones from being sent, and lose no link."""
+    rng = random.Random(21)
+    words = lambda n: [f"z{rng.randrange(1_000_000)}" for _ in range(n)]
+    passage = words(120)
+    rows = []
+    for i in range(24):
+        text = passage + words(rng.choice([1400, 1900, 2040, 2060]))
+        rows.append((i, " ".join(text)))
+        if i % 6 == 0:
+            cut = rng.choice([0, 60, 130])
+            rows.append((100 + i, " ".join(text[: len(text) - cut] + words(cut))))
+    rows += [(3, " ".join(words(1500))), (50, rows[2][1]), (60, None)]
+    asked = []
+    verify = ngram_join.verify
+    monkeypatch.setattr(ngram_join, "verify", lambda pairs, texts: asked.extend(map(tuple, pairs.select("a", "b").collect())) or verify(pairs, texts))
+    docs = spark.createDataFrame([r for r in rows if r[0] != 3], "doc_id long, text string").repartition(4)
+    assert {tuple(r) for r in ngram_join.jaccard_components(docs).collect()} == brute(sorted(r for r in rows if r[0] != 3))
+    asked_of_unlike = {(a, b) for a, b in asked if abs(a - b) != 100}
+    assert not asked_of_unlike
+    # An id of two rows has no wide bitmap, and its pairs stay.
+    both = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = storage.materialise(spark.createDataFrame([(1, 2), (3, 4), (0, 100)], "a long, b long"), "test-pairs")
+    node = spark.createDataFrame([(i, 2000) for i in (0, 1, 2, 3, 4, 100)], "node long, n long")
+    assert sorted(map(tuple, ngram_join.narrowed(pairs, node, both).collect())) == [(0, 100), (3, 4)]

@@ -15,7 +15,8 @@ Groups of equal segments are not expanded into pairs. Each member is verified ag
 member, and components of the links found are built. Only members still in different components meet again, under the
 parity bound: each set has a bitmap in which an element flips one bit, so the bits that differ between two bitmaps are
 no more than the elements that differ between the sets. Pairs within the bound are verified, the nearest of each
-set and component first, and the rest only where that left them apart.
+set and component first, and the rest only where that left them apart. The bitmaps of a long text are full, so before texts
+meet, pairs of long ones are held to the same bound on bitmaps as wide as their sets.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,8 @@ COARSE = (_TOP // 4) // 2 + 1
 PARITY_WORDS = 8
 #: Members of a group that one task holds against the whole group, and pairs of one leader that share a copy of its text.
 GROUP_ROWS, PAIR_ROWS = 4096, 1000
+#: The widest bitmap (32 KB); sets of more elements have theirs fuller, which only rules out fewer pairs.
+WIDE_BITS = 1 << 18
 
 
 def parities(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -315,12 +319,59 @@ def _possible(pairs: DataFrame, node: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    return verify(storage.materialise(pairs, "ngram-pairs"), texts).where("9 * common >= 4 * (na + nb)").select("a", "b")
+    """The links among `pairs`, a materialised table."""
+    return storage.materialise(verify(pairs, texts).where("9 * common >= 4 * (na + nb)").select("a", "b"), "ngram-links")
+
+
+def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, size, bits) of each text: bit b says whether an odd number of elements hash to b; as many bits as elements, rounded up to 2**k."""
+    for batch in batches:
+        for lo, hi, buf, offsets in tx.text_parts(batch.column(1)):
+            values, off = text_sets(buf, offsets)
+            h = tx.mix(values ^ U64(0x59F111F1B605D019))
+            bits = []
+            for i, n in enumerate(np.diff(off).tolist()):
+                wide = min(WIDE_BITS, 1 << max(9, (n - 1).bit_length()))
+                count = np.bincount((h[off[i] : off[i + 1]] & U64(wide - 1)).astype(np.int64), minlength=wide)
+                bits.append(np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(off), pa.int64()), pa.array(bits, pa.binary())], names=["id", "size", "bits"])
+
+
+def _far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) that differ, by their wide bitmaps, in more elements than a link allows."""
+    for batch in batches:
+        far = []
+        for n, x, y in zip(pc.add(batch.column(2), batch.column(4)).to_pylist(), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            # Half of the bits, folded onto the other half, are the bitmap of half the width.
+            while len(x) != len(y):
+                x, y = (x, y) if len(x) > len(y) else (y, x)
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            far.append(9 * int(np.bitwise_count(x ^ y).sum()) > n)
+        yield batch.select([0, 1]).filter(pa.array(far, pa.bool_()))
+
+
+def narrowed(pairs: DataFrame, node: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of `pairs`, a materialised table, without those (a, b) of long texts that wide bitmaps show to be no link.
+
+    Only sets of more elements than the narrow bitmaps have bits get wide ones, made from their texts, which are not sent for it.
+    Ids of several rows have none, and their pairs stay.
+    """
+    long = node.where(F.col("n") > PARITY_WORDS * 64).select(F.col("node").alias("id"))
+    ids = storage.materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(long, "id"), "ngram-long")
+    if ids.isEmpty():
+        return pairs
+    some = storage.keep_possible(texts.where("doc_id is not null"), "doc_id", ids, "id")
+    one = some.mapInArrow(_wide_rows, "id long, size long, bits binary").groupBy("id").agg(F.count("*").alias("rows"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+    wide = storage.materialise(one.where("rows = 1").drop("rows"), "ngram-wide")
+    both = pairs.select("a", "b").join(wide.toDF("a", "na", "xa"), "a").join(wide.toDF("b", "nb", "xb"), "b").select("a", "b", "na", "xa", "nb", "xb")
+    far = storage.materialise(both.mapInArrow(_far, "a long, b long").distinct(), "ngram-far")
+    return storage.materialise(pairs.join(far, ["a", "b"], "left_anti").select(*pairs.columns), "ngram-narrowed")
 
 
 def _more(labels: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """`labels` with the links among `pairs`, a materialised table."""
-    links = storage.materialise(verify(pairs, texts).where("9 * common >= 4 * (na + nb)").select("a", "b"), "ngram-links")
+    links = _linked(pairs, texts)
     return labels if links.isEmpty() else merged(labels, links, "a", "b")
 
 
@@ -355,7 +406,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     leaders = members.join(degree, "node").groupBy("g").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("leader"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("g", "leader")
     members = storage.materialise(members.join(leaders, "g"), "ngram-members")
     stars = _possible(storage.materialise(members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "ngram-spokes"), node)
-    links = storage.materialise(_linked(stars, texts), "ngram-stars")
+    links = _linked(narrowed(storage.materialise(stars, "ngram-pairs"), node, texts), texts)
     labels = components(links, "a", "b")
     open_ = members.join(labels, "node", "left").select("g", "node", "probe", F.coalesce("component", "node").alias("c"))
     split = open_.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
@@ -366,7 +417,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_ = open_.join(size, "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = open_.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_") for c in open_.columns if c not in ("g", "block", "blocks")))
     rest = open_.join(other, ["g", "block"]).where(F.expr("node > node_ and c <> c_ and probe + probe_ > 0") & _within()).select(F.col("node").alias("a"), F.col("node_").alias("b"), "c", "c_", _differ().alias("differ")).distinct()
-    rest = storage.materialise(rest, "ngram-rest")
+    rest = narrowed(storage.materialise(rest, "ngram-rest"), node, texts)
     sides = rest.select("a", "b", "differ", F.col("a").alias("x"), F.col("c_").alias("to")).union(rest.select("a", "b", "differ", "b", "c"))
     near = storage.materialise(sides.groupBy("x", "to").agg(F.min_by(F.struct("a", "b"), F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "ngram-near")
     if not near.isEmpty():
